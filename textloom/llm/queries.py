@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, langid, sstable, toxicity, warc
+from textloom.llm import bpe, exact_dedup, langid, minhash, sstable, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -44,13 +44,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc.read_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op5_toxicity, op7_exact_dedup, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """
