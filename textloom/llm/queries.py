@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, langid, minhash, sstable, toxicity, warc
+from textloom.llm import bpe, decontam, exact_dedup, langid, minhash, sstable, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -30,6 +30,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -54,9 +58,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc)}
 
 ORACLE_SQL = {
+    "op4_decontaminate": decontam.ORACLE_SQL,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
