@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, exact_dedup, langid, minhash, sstable, toxicity, warc
+from textloom.llm import bpe, decontam, exact_dedup, langid, minhash, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -58,7 +58,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_facts(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_decontaminate": decontam.ORACLE_SQL,
