@@ -147,3 +147,25 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     return rows.mapInPandas(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose language the model tells with a score of ``least`` or more.
+
+    Null texts and texts without letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    name = uuid.uuid4().hex
+
+    def keep(batches):
+        import pyarrow as pa
+
+        cache = worker_cache()
+        if cache.get("langid", ("",))[0] != name:
+            cache["langid"] = (name, Scorer(shared.value))
+        scorer = cache["langid"][1]
+        for batch in batches:
+            found = [scorer(t or "") for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

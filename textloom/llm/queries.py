@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, exact_dedup, langid, minhash, sstable, suffix, toxicity, warc
+from textloom.llm import bpe, decontam, exact_dedup, html_extract, langid, minhash, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -43,6 +43,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -62,7 +66,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_html_main_text, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op4_decontaminate": decontam.ORACLE_SQL,
