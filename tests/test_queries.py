@@ -1,0 +1,46 @@
+"""Every registered query against its SQL on the smallest tables."""
+
+import __spark_entry__ as entry
+import duckdb
+import pandas as pd
+import pytest
+
+from textloom.plans.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def plain(value):
+    if isinstance(value, float) and not pd.isna(value):
+        return round(value, 6)
+    if hasattr(value, "tolist"):
+        value = value.tolist()
+    if isinstance(value, list):
+        return tuple(plain(x) for x in value)
+    return None if value is None or value is pd.NA or value is pd.NaT or value != value else value
+
+
+def rows(df):
+    names = sorted(df.columns)
+    return names, sorted((tuple(plain(x) for x in r) for r in df[names].itertuples(index=False, name=None)), key=repr)
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, duck, name):
+    got = QUERIES[name](spark, SF).toPandas()
+    if name in ORACLE_SQL:
+        assert rows(got) == rows(duck.execute(ORACLE_SQL[name]).fetchdf())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["query_id", "id", "rank", "score"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
