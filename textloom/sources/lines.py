@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import roman_value, strip
 
-#: The numerals that a heading's pattern reads, in the order in which it tries them; others read as nothing.
-NUMERALS = "(I{1,3}|IV|V?I{0,3})"
+#: Patterns of headings, verses and lines that belong to none. The numeral of a heading may read as nothing.
+BOOK = r"(?i)^\s*BOOK\s+(I{1,3}V?|V?I{0,3}|\d+)\b"
+HYMN = r"(?i)^\s*HYMN\s+(I{1,4}V?|VI{0,4}|V?I{0,4}X?|\d+)\.?\s*(.*)"
+VERSE = r"^\s*(\d+)\.\s+(.+)"
+ASIDE = r"^(\[|.*\bPage\b|.*\bNote\b)"
 
 
 def hymn_verses(lines: DataFrame, work: str = "Rig Veda", key: str = "path", order: str = "line_no", text: str = "text", least: int = 20) -> DataFrame:
     """key, pos, text as "work book.hymn.verse (title): words" of texts over ``least`` characters.
 
-    Headings are lines "BOOK numeral" and "HYMN numeral. title"; "k. words" begins a verse and other lines continue it.
-    A book heading that reads no numeral ends the verse but keeps the book. Lines before the first verse of a hymn and
-    note lines in brackets are left out. Each file is a window of its own.
+    Headings are lines "BOOK numeral" and "HYMN numeral. title"; "k. words" begins a verse and other lines of more than
+    three characters continue it. A heading that reads no numeral ends the verse but keeps book, hymn and title. Lines
+    before the first verse of a hymn and asides are left out. Each file is a window of its own.
     """
     by = Window.partitionBy(key).orderBy(order)
     line = strip(F.coalesce(text, F.lit("")))
-    rows = lines.select(key, order, line.alias("line")).where("line != '' AND NOT startswith(line, '[')")
-    book = F.regexp_extract("line", rf"^BOOK\s+{NUMERALS}", 1)
-    hymn = F.regexp_extract("line", rf"^HYMN\s+{NUMERALS}", 1)
-    is_book, is_hymn = F.col("line").rlike(r"^BOOK\b"), F.col("line").rlike(r"^HYMN\b")
-    verse = F.regexp_extract("line", r"^(\d+)\.?\s+(.+)$", 1)
+    verse = F.regexp_extract("line", VERSE, 1)
+    is_book = F.col("line").rlike(BOOK)
+    is_hymn = ~is_book & F.col("line").rlike(HYMN)
+
+    def number(pattern: str) -> Column:
+        read = F.regexp_extract("line", pattern, 1)
+        return F.coalesce(roman_value(F.nullif(read, F.lit(""))), F.nullif(F.regexp_extract(read, r"^\d+$", 0), F.lit("")).cast("int"))
+
+    rows = lines.select(key, order, line.alias("line")).where((F.length("line") > 3) & ~F.col("line").rlike(ASIDE))
+    hymn = F.when(is_hymn, number(HYMN))
     rows = rows.select(
         "*",
         is_book.alias("is_book"),
         is_hymn.alias("is_hymn"),
-        roman_value(F.nullif(book, F.lit(""))).alias("book_read"),
-        roman_value(F.nullif(hymn, F.lit(""))).alias("hymn_read"),
-        F.when(is_hymn, strip(F.regexp_replace("line", rf"^HYMN\s+{NUMERALS}\.?\s*", ""))).alias("title_read"),
+        F.when(is_book, number(BOOK)).alias("book_read"),
+        hymn.alias("hymn_read"),
+        F.when(hymn.isNotNull(), F.rtrim(F.regexp_extract("line", HYMN, 2), F.lit("."))).alias("title_read"),
         F.when(~is_book & ~is_hymn & (verse != ""), verse.cast("int")).alias("verse_read"),
     )
     starts = F.col("is_book") | F.col("is_hymn") | F.col("verse_read").isNotNull()
@@ -42,7 +50,7 @@ def hymn_verses(lines: DataFrame, work: str = "Rig Veda", key: str = "path", ord
         F.last("title_read", ignorenulls=True).over(by).alias("title"),
         F.sum(starts.cast("int")).over(by).alias("part"),
     )
-    words = F.when(F.col("verse_read").isNotNull(), F.regexp_extract("line", r"^(\d+)\.?\s+(.+)$", 2)).otherwise(F.col("line"))
+    words = F.when(F.col("verse_read").isNotNull(), F.regexp_extract("line", VERSE, 2)).otherwise(F.col("line"))
     parts = rows.groupBy(key, "part").agg(
         F.min(order).alias("at"),
         F.max("verse_read").alias("verse"),
