@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom import config
 from textloom.functions import text as T
 from textloom.operators import answer, chunk, clean, enrich, ingest, policy, scrub, search, vector
+from textloom.plans import build
 from textloom.sources import html
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +155,13 @@ def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.funnel(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", fragments=["!!"], char_class="[À-ÿ]")
 
 
+@query()
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text", F.col("source").alias("section"), F.col("lang").alias("language"))
+    plan = build.Build(config.domain("Hinduism"), labels=SECTION_LABELS, preambles=PREAMBLES, synonyms=SYNONYMS, quality=True)
+    return build.build_chunks(raw, plan)
+
+
 @query(_FUNNEL + "SELECT reason, count(*) AS n FROM g GROUP BY reason")
 def quality_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.funnel_counts(_funnel(spark, sf_dir))
