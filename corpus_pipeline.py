@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, exact_dedup, langid, minhash
-from textloom.llm.common import scratch
+from textloom.llm.common import cut, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,13 +23,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    dropped = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    # Written first, so that Spark knows the size of the ids and may broadcast them instead of dealing out all texts.
+    dropped = cut(minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-dropped")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item is found."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    found = cut(decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 

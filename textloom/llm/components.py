@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach_groups, cut
+from textloom.llm.common import cut
 
 
 def _relabel(rows: DataFrame, key: str, parents: DataFrame) -> DataFrame:
-    """rows with key replaced by its parent, if it has one; a key may hold any share of the rows."""
-    weighted = cut(rows.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("_n")).join(parents, "node"), "weights")
-    named = weighted.withColumnRenamed("node", key)
-    other = [F.col(c) for c in rows.columns]
-    out = attach_groups(rows, named, key, F.xxhash64(*other), "_n")
+    """rows with key replaced by its parent, if it has one. A key with many rows is split by Spark's skew join: rows are
+    a few bytes and the join has one row a key on the other side."""
+    out = rows.join(parents.withColumnRenamed("node", key), key, "left")
     return out.withColumn(key, F.coalesce("parent", key)).select(*rows.columns)
 
 

@@ -5,8 +5,8 @@ the hash evaluations. Signatures are banded; documents that share a band are can
 their full shingle sets, and confirmed links are closed to components.
 
 Groups of copies are never expanded into all pairs. Documents with equal shingle sets are one class, of which the
-smallest id stands for all. In a bucket, each class is first compared with the bucket's smallest; only classes that are
-still apart afterwards are compared with each other, until no bucket holds an untried pair of two components.
+smallest id stands for all. In a bucket, each class is first compared with the bucket's smallest. Only where a bucket's
+classes are then in several components are those outside the main one compared with all classes of other components.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from textloom.llm.components import components
 #: BANDS bands of ROWS values each; half of all values are minima, half maxima. At a similarity of 0.85 a pair shares
 #: no band with a chance of (1 - 0.85^6)^32 = 3e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 32, 6
-#: Rounds in which only the smallest unlinked class of each bucket is compared, before all that are left are.
-STAR_ROUNDS = 2
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORDS_KEPT = 500_000
@@ -114,6 +112,22 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def unique_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """doc_id, n_unique: shingles that no other of these texts has. Whatever else a text shares, it doesn't share these."""
+
+    def run(batches):
+        cache = worker_cache()
+        signer = cache.setdefault(("minhash", size), Signer(size))
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": [signer.shingles(t).view(np.int64) for t in part["text"]]})
+
+    shingles = texts.mapInPandas(run, "doc_id long, h array<long>").select("doc_id", F.explode("h").alias("h"))
+    owners = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return owners.groupBy("doc_id").agg(F.count("*").alias("n_unique"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets.
 
@@ -149,31 +163,27 @@ def link(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     """node, component of all classes with a link; members: bucket, rep, n_shingles, lead, lead_n (bucket's smallest rep)."""
     ratio = _similar_sizes(F.col("n_shingles"), F.col("lead_n"), percent)
     pairs = cut(members.where((F.col("rep") != F.col("lead")) & ratio).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
-    tried, edges = pairs, cut(confirm(pairs, texts, size, percent), "near-edges")
-    step = 0
-    while True:
-        step += 1
-        found = components(edges)
-        found = cut(found.join(found.groupBy("component").agg(F.count("*").alias("n_nodes")), "component").withColumnRenamed("node", "rep"), "near-found")
-        rows = members.select("bucket", "rep", "n_shingles").join(found.select("rep", "component"), "rep", "left")
-        rows = rows.withColumn("component", F.coalesce("component", "rep"))
-        apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows")).where("c0 != c1")
-        apart = cut(apart.select("bucket", "main", "n_rows"), "near-apart")
-        rows = attach_groups(rows, apart, "bucket", F.col("rep"), "n_rows").where("main IS NOT NULL")
-        rows = cut(rows, "near-rows")
-        outside = rows.where("component != main").select("bucket", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"), F.col("component").alias("p_component"))
-        if step < STAR_ROUNDS:
-            first = outside.groupBy("bucket").agg(F.min(F.struct("p", "p_n", "p_component")).alias("x"))
-            outside = first.select("bucket", "x.*")
-        near = rows.join(outside, "bucket").where((F.col("component") != F.col("p_component")) & _similar_sizes(F.col("n_shingles"), F.col("p_n"), percent))
-        pairs = near.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if step >= STAR_ROUNDS and not pairs.take(1):
-            return found.select(F.col("rep").alias("node"), "component")
-        tried = tried.unionByName(pairs)
-        edges = cut(edges.unionByName(confirm(pairs, texts, size, percent)), "near-edges")
-        if step >= STAR_ROUNDS:
-            return components(edges)
+    edges = cut(confirm(pairs, texts, size, percent), "near-edges")
+    found = components(edges)
+
+    # Buckets whose classes are in several components; a bucket's main component is that of its smallest class.
+    rows = members.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    unique = cut(unique_shingles(texts, size), "near-unique").withColumnRenamed("doc_id", "rep")
+    rest = F.col("n_shingles") - F.coalesce("n_unique", F.lit(0))
+    rows = rows.join(unique, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"), rest.alias("rest"))
+    rows = cut(rows, "near-rows")
+    apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
+    rows = cut(rows.join(apart.select("bucket", "main"), "bucket"), "near-apart")
+    outside = rows.where("component != main").select("bucket", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"), F.col("component").alias("p_component"), F.col("rest").alias("p_rest"))
+    # Two texts share no more than either has left without its unique shingles: most pairs of a large group that aren't
+    # linked to its smallest member by now are ruled out by this bound, without a look at their sets.
+    most = F.least("rest", "p_rest")
+    possible = 100 * most >= percent * (F.col("n_shingles") + F.col("p_n") - most)
+    near = rows.join(outside, "bucket").where((F.col("component") != F.col("p_component")) & possible)
+    more = near.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    more = cut(confirm(more, texts, size, percent), "near-edges")
+    return components(edges.unionByName(more)) if more.take(1) else found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -190,7 +200,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     known = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs")), "near-classes")
     single = F.col("n_docs") == 1
-    placed = attach_groups(signed.select("doc_id", "n_shingles", "set_key"), classes.where(~single), "set_key", F.coalesce("doc_id", F.lit(0)), "n_docs")
+    keyed = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    placed = attach_groups(keyed, classes.where(~single), "set_key", F.coalesce("doc_id", F.lit(0)), "n_docs")
     placed = cut(placed.select("doc_id", "n_shingles", "set_key", F.coalesce("rep", F.when(F.col("set_key").isNotNull(), F.col("doc_id"))).alias("rep")), "near-placed")
 
     reps = known.join(classes.select("set_key", "rep"), (known["set_key"] == classes["set_key"]) & (known["doc_id"] == classes["rep"]), "left_semi")
@@ -201,10 +212,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     buckets = cut(buckets.select("bucket", F.col("least.rep").alias("lead"), F.col("least.n_shingles").alias("lead_n"), "n_rows"), "near-buckets")
     members = cut(attach_groups(banded, buckets, "bucket", F.col("rep"), "n_rows").where("n_rows IS NOT NULL").drop("n_rows"), "near-members")
 
-    needed = members.select(F.col("rep").alias("doc_id")).distinct()
+    # Written first, so that Spark knows the size of the ids and may broadcast them instead of dealing out all texts.
+    needed = cut(members.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
     texts = cut(rows.join(needed, "doc_id", "left_semi"), "near-texts")
     found = link(members, texts, size, percent)
-    weights = placed.groupBy(F.col("rep").alias("node")).agg(F.count("*").alias("n_docs"))
+    weights = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n_docs").alias("n_docs"))
     found = cut(found.join(weights, "node").withColumnRenamed("node", "rep"), "near-components")
     out = attach_groups(placed, found, "rep", F.coalesce("doc_id", F.lit(0)), "n_docs")
     component = F.coalesce("component", "rep", "doc_id")

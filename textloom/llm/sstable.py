@@ -33,8 +33,10 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"TLSST001"
 _FOOTER = "<QQQQQQB8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
-#: Distinct words whose ids a worker keeps; beyond it the cache starts anew.
-WORD_CACHE = 400_000
+#: Distinct words, and parts of words, whose ids a worker keeps; beyond it either cache starts anew.
+WORD_CACHE, PART_CACHE = 300_000, 900_000
+#: Signs at a word's end that the tokenizer always parts from the letters before.
+_END_SIGNS = ".,!?;:#$%&*|"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -196,16 +198,32 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    @staticmethod
+    def split_word(word: str) -> tuple[str, ...]:
+        """Parts that the tokenizer encodes apart: letters, lower-cased as it would, and signs after them."""
+        letters = word.rstrip(_END_SIGNS)
+        if not letters.isalpha():
+            return (word,)
+        # A capital sigma's lower case depends on its place for Python, not for the tokenizer.
+        low = letters if "\u03a3" in letters else letters.lower()
+        return (low,) if len(letters) == len(word) else (low, word[len(letters) :])
 
     def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > WORD_CACHE:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys()) if split else []
-        for at in range(0, len(new), 4096):
-            words = new[at : at + 4096]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, f"<u{self.width}").tobytes()
+        if len(self.parts) > PART_CACHE:
+            self.parts.clear()
+        split_new = {w: self.split_word(w) for w in set().union(*split) - self.known.keys()}
+        missing = list({p for parts in split_new.values() for p in parts} - self.parts.keys())
+        for at in range(0, len(missing), 4096):
+            parts = missing[at : at + 4096]
+            for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, f"<u{self.width}").tobytes()
+        for w, parts in split_new.items():
+            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
         known = self.known.__getitem__
         return [np.frombuffer(b"".join(map(known, words)) + self.end, f"<u{self.width}") for words in split]
 
