@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from textloom.llm import minhash
+from textloom.llm import langid, minhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,9 +26,12 @@ def test_columns_stay(stages):
         assert {tuple(r.asDict()) for r in rows.values()} == {("doc_id", "text", "lang", "source", "n_chars")}
 
 
-def test_language_keeps_clean_documents(stages):
+def test_language_keeps_clean_documents(spark, stages):
     lost = set(stages[0]) - set(stages[1])
-    assert all(not re.search(r"[^\W\d_]", stages[0][i]["text"] or "") for i in lost)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = langid.predict(docs, langid.fit(docs)).collect()
+    assert lost == {r["doc_id"] for r in found if r["lang_pred"] == "und" or r["score"] < 0.5}
+    assert all(len(re.findall(r"[^\W\d_]+", stages[0][i]["text"] or "")) < 5 for i in lost)
 
 
 def test_exact_copies(stages):

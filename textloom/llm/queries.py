@@ -5,7 +5,6 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from textloom.llm import bpe, decontam, exact_dedup, html_extract, langid, minhash, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch

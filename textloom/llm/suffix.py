@@ -179,7 +179,9 @@ def covered_windows(contexts: list[bytes], docs: np.ndarray, length: int) -> lis
     owner, start = owner[hit], start[hit]
     order = np.lexsort((start, owner))
     owner, start = owner[order], start[order]
-    bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
+    if not len(owner):
+        return []
+    bounds = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     return [(int(owner[b]), start[b:e]) for b, e in zip(bounds, [*bounds[1:], len(owner)], strict=True)]
 
 
@@ -206,9 +208,11 @@ def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
 
 def _split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places of that key) for each distinct key."""
+    if not len(keys):
+        return
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    bounds = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else []
+    bounds = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     for b, e in zip(bounds, [*bounds[1:], len(keys)], strict=True):
         yield int(ordered[b]), order[b:e]
 
