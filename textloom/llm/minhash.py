@@ -25,6 +25,8 @@ from textloom.llm.components import components
 #: BANDS bands of ROWS values each; half of all values are minima, half maxima. At a similarity of 0.85 a pair shares
 #: no band with a chance of (1 - 0.85^6)^32 = 3e-7, at 0.8 of 5e-5.
 BANDS, ROWS = 32, 6
+#: Words of 64 places, over which a set's shingles are dealt; for each place the parity of their number is kept.
+PARITY_WORDS = 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORDS_KEPT = 500_000
@@ -74,6 +76,10 @@ class Signer:
         out ^= out >> np.uint64(32)
         return np.unique(out)
 
+    def parity(self, shingles: np.ndarray) -> np.ndarray:
+        odd = np.bincount((shingles % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
     def bands(self, shingles: np.ndarray) -> np.ndarray:
         """One 64-bit value a band."""
         low = np.full(len(self.mult), np.iinfo(np.uint64).max)
@@ -89,7 +95,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands."""
+    """doc_id, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands, parity."""
 
     def sign(batches):
         cache = worker_cache()
@@ -103,29 +109,20 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     "n_shingles": [len(s) for s in sets],
                     "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     "bands": [signer.bands(s) if len(s) else None for s in sets],
+                    "parity": [signer.parity(s) if len(s) else None for s in sets],
                 })
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, parity array<long>")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def unique_shingles(texts: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_unique: shingles that no other of these texts has. Whatever else a text shares, it doesn't share these."""
-
-    def run(batches):
-        cache = worker_cache()
-        signer = cache.setdefault(("minhash", size), Signer(size))
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "h": [signer.shingles(t).view(np.int64) for t in part["text"]]})
-
-    shingles = texts.mapInPandas(run, "doc_id long, h array<long>").select("doc_id", F.explode("h").alias("h"))
-    owners = shingles.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    return owners.groupBy("doc_id").agg(F.count("*").alias("n_unique"))
+def _at_most_common(n: Column, m: Column, parity: Column, other: Column) -> Column:
+    """No two sets of n and m shingles have more in common: each place of different parity stands for one that only one has."""
+    apart = sum((F.bit_count(parity[i].bitwiseXOR(other[i])) for i in range(1, PARITY_WORDS)), F.bit_count(parity[0].bitwiseXOR(other[0])))
+    return F.floor((n + m - apart) / 2)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -159,8 +156,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.sortWithinPartitions("a").mapInPandas(check, "a long, b long")
 
 
-def link(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """node, component of all classes with a link; members: bucket, rep, n_shingles, lead, lead_n (bucket's smallest rep)."""
+def link(members: DataFrame, parities: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """node, component of all classes with a link.
+
+    members: bucket, rep, n_shingles, lead, lead_n (bucket's smallest rep); parities: rep, parity; texts: doc_id, text.
+    """
     ratio = _similar_sizes(F.col("n_shingles"), F.col("lead_n"), percent)
     pairs = cut(members.where((F.col("rep") != F.col("lead")) & ratio).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "near-pairs")
     edges = cut(confirm(pairs, texts, size, percent), "near-edges")
@@ -168,19 +168,17 @@ def link(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
     # Buckets whose classes are in several components; a bucket's main component is that of its smallest class.
     rows = members.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    unique = cut(unique_shingles(texts, size), "near-unique").withColumnRenamed("doc_id", "rep")
-    rest = F.col("n_shingles") - F.coalesce("n_unique", F.lit(0))
-    rows = rows.join(unique, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"), rest.alias("rest"))
-    rows = cut(rows, "near-rows")
+    rows = cut(rows.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-rows")
     apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    rows = cut(rows.join(apart.select("bucket", "main"), "bucket"), "near-apart")
-    outside = rows.where("component != main").select("bucket", F.col("rep").alias("p"), F.col("n_shingles").alias("p_n"), F.col("component").alias("p_component"), F.col("rest").alias("p_rest"))
-    # Two texts share no more than either has left without its unique shingles: most pairs of a large group that aren't
-    # linked to its smallest member by now are ruled out by this bound, without a look at their sets.
-    most = F.least("rest", "p_rest")
-    possible = 100 * most >= percent * (F.col("n_shingles") + F.col("p_n") - most)
+    rows = cut(rows.join(apart.select("bucket", "main"), "bucket").join(parities, "rep"), "near-apart")
+    outside = rows.where("component != main").select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "n_shingles", "component", "parity")])
+    # Most pairs of a large group that aren't linked to its smallest member by now are ruled out by the parities of
+    # their sets, which prove that they differ too much, without a look at their texts.
+    n, m = F.col("n_shingles"), F.col("p_n_shingles")
+    most = _at_most_common(n, m, F.col("parity"), F.col("p_parity"))
+    possible = _similar_sizes(n, m, percent) & (100 * most >= percent * (n + m - most))
     near = rows.join(outside, "bucket").where((F.col("component") != F.col("p_component")) & possible)
-    more = near.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    more = near.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     more = cut(confirm(more, texts, size, percent), "near-edges")
     return components(edges.unionByName(more)) if more.take(1) else found
@@ -215,7 +213,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # Written first, so that Spark knows the size of the ids and may broadcast them instead of dealing out all texts.
     needed = cut(members.select(F.col("rep").alias("doc_id")).distinct(), "near-needed")
     texts = cut(rows.join(needed, "doc_id", "left_semi"), "near-texts")
-    found = link(members, texts, size, percent)
+    parities = reps.select(F.col("doc_id").alias("rep"), "parity")
+    found = link(members, parities, texts, size, percent)
     weights = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n_docs").alias("n_docs"))
     found = cut(found.join(weights, "node").withColumnRenamed("node", "rep"), "near-components")
     out = attach_groups(placed, found, "rep", F.coalesce("doc_id", F.lit(0)), "n_docs")
