@@ -37,6 +37,8 @@ _FOOTER_BYTES = struct.calcsize(_FOOTER)
 WORD_CACHE, PART_CACHE = 300_000, 900_000
 #: Signs at a word's end that the tokenizer always parts from the letters before.
 _END_SIGNS = ".,!?;:#$%&*|"
+#: How the vocabulary marks a word's last piece. Where it has no such mark, every part is encoded apart.
+_WORD_END = "</w>"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -196,6 +198,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -210,6 +215,22 @@ class WordEncoder:
         low = letters if "\u03a3" in letters else letters.lower()
         return (low,) if len(letters) == len(word) else (low, word[len(letters) :])
 
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+
+    def _encode_letters(self, parts: list[str]) -> list[bytes]:
+        """As _encode_parts, for parts of letters: encoded as one text and cut after the ids that end a word.
+
+        Each part has one such id at least, so as many as there are parts are one for each; else each part is encoded apart.
+        """
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * self.width
+        if len(cuts) != len(parts) or cuts[-1] != ids.nbytes:
+            return self._encode_parts(parts)
+        data, cuts = ids.tobytes(), cuts.tolist()
+        return [data[b:e] for b, e in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > WORD_CACHE:
@@ -217,11 +238,12 @@ class WordEncoder:
         if len(self.parts) > PART_CACHE:
             self.parts.clear()
         split_new = {w: self.split_word(w) for w in set().union(*split) - self.known.keys()}
-        missing = list({p for parts in split_new.values() for p in parts} - self.parts.keys())
-        for at in range(0, len(missing), 4096):
-            parts = missing[at : at + 4096]
-            for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, f"<u{self.width}").tobytes()
+        missing = {p for parts in split_new.values() for p in parts} - self.parts.keys()
+        letters = [p for p in missing if p.isalpha()]
+        others = [p for p in missing if not p.isalpha()]
+        for own, encode in ((letters, self._encode_letters), (others, self._encode_parts)):
+            for at in range(0, len(own), 512):
+                self.parts.update(zip(own[at : at + 512], encode(own[at : at + 512]), strict=True))
         for w, parts in split_new.items():
             self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
         known = self.known.__getitem__
