@@ -249,6 +249,22 @@ def test_html(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
+def test_html_keeps_mirrors_and_pages_without_host(spark):
+    text = "<p>A mirrored page says the very same words under two ids and stays whole.</p>"
+    passage = "one passage of nine words that two pages quote"
+    quotes = [(i, f"http://q/{i}", f"<p>page{i} " + " ".join(f"w{i}x{j}" for j in range(12)) + (f" {passage}</p>" if i < 12 else "</p>")) for i in range(10, 20)]
+    pages = [(1, "http://m/1", text), (2, "http://m/2", text), (3, None, text + "<p>three</p>"), (4, "/relative", text + "<p>four</p>"), *quotes]
+    got = by_id(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert all(got[i]["text"].startswith("A mirrored page says") and "stays whole" in got[i]["text"] for i in (1, 2, 3, 4))
+    assert passage in got[10]["text"] and passage in got[11]["text"]  # two of ten pages are no share of the host
+
+
+def test_html_main_element_before_its_class():
+    for page in ("<article class='post no-sidebar'><p>x</article>", "<main id='search-results'><p>x</main>", "<main><article class='has-sidebar no-comments'><p>x</article></main>"):
+        assert html_extract.parse(page)[0::2] == (["x"], True)
+    assert html_extract.parse("<article><p>x<article class='comment'><p>y</article></article>")[0] == ["x"]
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 2000
     pages = [(1, "http://a/\r\nX: y", big, 0), (2, "http://b", big, 0), (3, None, "small", 0), (4, "u", "small", 0), (5, "u", None, 0), (6, "é", "é" * 600, 0), (2, "http://b", big, 0)]

@@ -1,16 +1,22 @@
 """Main text of HTML pages: structure first, then substrings that a host repeats.
 
 Elements that hold no article (menus, headers, footers, forms, adverts, comments, ...) are known by tag, role, class or
-id. A page with an article or main element keeps that element's blocks. For other pages, each host's token streams
-(blocks outside articles, of all its pages) are searched for substrings of WINDOW tokens or more that occur in distinct
-pages: suffixes are cut to WINDOW tokens, brought together by host and prefix, and those in two pages or more mark the
-tokens that they cover. Covered tokens and blocks that are mostly links go; unique runs stay.
+id. A page with an article or main element keeps that element's blocks, another page the blocks outside marked elements
+that are not mostly links. What is kept is one token stream a page. The suffixes of a host's streams are sorted by their
+first WINDOW tokens (as fingerprints), and runs of equal ones from enough distinct pages mark the tokens that they
+cover; covered tokens go. A substring of WINDOW tokens or more repeats just where all its windows do, so the covers are
+those of a whole suffix array.
+
+Hosts are cut into units of UNIT pages or so. What reaches a share of a host's pages reaches it in one of the host's
+units at least, so units name candidates first, and then these alone are counted over all pages: nothing is missed.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,8 +26,12 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import attach_groups, cut
 
-#: Tokens of a repeated substring at least (a shorter block counts as a whole); share of a block's characters in links at most.
+#: Tokens of a repeated substring at least (a shorter block counts as a whole, outside articles); share of a block's characters in links at most.
 WINDOW, LINK_SHARE = 8, 0.6
+#: Distinct pages of a host that repeat a substring at least, as a number and in percent.
+LEAST_PAGES, LEAST_PERCENT = 2, 30
+#: Pages that are searched for candidates together.
+UNIT = 64
 
 _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object", "svg", "math", "select", "button", "canvas", "title", "xmp"}
 _OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
@@ -30,6 +40,9 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
 #: Words of class and id values that mark elements outside the article.
 _MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "sidebar", "side", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "comment", "comments", "disqus", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form", "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "pagination", "pager", "skip", "hidden"}
+#: Of these, words that tell of an article or main element after the first that it is none; not after words of _LAYOUT ("no-comments").
+_ASIDES = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "disqus", "related", "recommended", "hidden"}
+_LAYOUT = {"no", "without", "has", "with"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -54,6 +67,19 @@ def _is_main(tag: str, attrs: str) -> bool:
     return tag in ("article", "main") or "role" in attrs and any(n.lower() == "role" and "".join(v).lower() == "main" for n, *v in _ATTR.findall(attrs))
 
 
+def _is_aside(attrs: str) -> bool:
+    """Whether the attributes of an article or main element after the first say that it holds something else."""
+    for name, *values in _ATTR.findall(attrs):
+        words = _WORDS.findall(_CAMEL.sub(r"\1 \2", "".join(values)).lower())
+        if name.lower() in ("class", "id") and any(w in _ASIDES and before not in _LAYOUT for before, w in zip(["", *words], words)):
+            return True
+    return False
+
+
+def _is_hidden(attrs: str) -> bool:
+    return any(name.lower() == "hidden" for name, *_ in _ATTR.findall(attrs))
+
+
 def parse(page: str) -> tuple[list[str], list[tuple[str, float, bool]], bool]:
     """(blocks of the main element, other blocks with their share of link text and whether marked as outside, has a main element)."""
     main: list[str] = []
@@ -107,7 +133,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, float, bool]], bool]:
         if out_depth:
             if tag == out_tag:
                 out_depth += -1 if closes else 1
-        elif not closes and _is_outside(tag, attrs):
+        elif not closes and (_is_hidden(attrs) or seen_main and _is_aside(attrs) if _is_main(tag, attrs) else _is_outside(tag, attrs)):
             flush()
             out_tag, out_depth = tag, 1
         elif _is_main(tag, attrs) if not closes else tag in ("article", "main"):
@@ -119,72 +145,162 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, float, bool]], bool]:
     return main, other, seen_main
 
 
-def _stream(tokens: list[str]) -> list[int]:
-    """Hashes of a block's suffixes cut to WINDOW tokens; of the whole block if it is shorter."""
-    n = max(1, len(tokens) - WINDOW + 1)
-    return [xxhash.xxh3_64_intdigest(" ".join(tokens[i : i + WINDOW])) - (1 << 63) for i in range(n)]
+_BASES = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW)], np.uint64)
+
+
+class _Fingerprints:
+    """64-bit fingerprints of token windows: sums of token hashes by powers of an odd number, so the same in all tasks."""
+
+    def __init__(self, most: int = 1 << 18) -> None:
+        self.of: dict[str, int] = {}
+        self.most = most
+
+    def hashes(self, tokens: list[str]) -> np.ndarray:
+        of = self.of
+        if len(of) > self.most:
+            of.clear()
+        for t in set(tokens).difference(of):
+            of[t] = xxhash.xxh3_64_intdigest(t)
+        return np.fromiter(map(of.__getitem__, tokens), np.uint64, len(tokens))
+
+    def suffixes(self, tokens: list[str]) -> np.ndarray:
+        """Of each suffix's first WINDOW tokens; none of shorter streams."""
+        h, n = self.hashes(tokens), len(tokens) - WINDOW + 1
+        return sum((h[k : k + n] * _BASES[k] for k in range(WINDOW)), np.zeros(n, np.uint64)) if n > 0 else np.zeros(0, np.uint64)
 
+    def whole(self, tokens: list[str]) -> np.ndarray:
+        """Of a block below WINDOW tokens, in an array of one; it differs from that of any window."""
+        return (self.hashes(tokens) * _BASES[: len(tokens)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(tokens))
 
-def _outside_streams(batches):
+    def page(self, kept: list[str], other: list[str]) -> np.ndarray:
+        """Distinct fingerprints of a page: of the stream of kept blocks, of each other block, of short blocks as a whole."""
+        parts = [self.suffixes(" ".join(kept).split(" "))]
+        for block in other:
+            parts.append(self.suffixes(block.split(" ")))
+        parts += [self.whole(t) for b in (*kept, *other) if len(t := b.split(" ")) < WINDOW]
+        return np.unique(np.concatenate(parts))
+
+
+def _pack(kept: list[str], other: list[str]) -> bytes:
+    return zlib.compress("\n".join([*kept, "", *other]).encode("utf-8", "surrogatepass"), 1)
+
+
+def _unpack(packed: bytes) -> tuple[list[str], list[str]]:
+    lines = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+    at = lines.index("")
+    return lines[:at], lines[at + 1 :]
+
+
+def _streams(batches):
     for batch in batches:
         rows = []
-        for page in batch["html"]:
-            _, other, has_main = parse(page)
-            suffixes = sorted({h for text, _, _ in other for h in _stream(text.split(" "))})
-            blocks = None if has_main else [t for t, share, marked in other if not marked and share <= LINK_SHARE]
-            rows.append((suffixes, blocks))
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"], "suffixes": [r[0] for r in rows], "blocks": [r[1] for r in rows]})
+        for page, host, n in zip(batch["html"], batch["host"], batch["n"], strict=True):
+            main, other, has_main = parse(page)
+            keeps = [has_main is False and not marked and share <= LINK_SHARE for _, share, marked in other]
+            kept = main if has_main else [t for (t, *_), k in zip(other, keeps, strict=True) if k]
+            rest = [t for (t, *_), k in zip(other, keeps, strict=True) if not k]
+            key = xxhash.xxh3_64_intdigest("\n".join([*kept, "", *rest]).encode("utf-8", "surrogatepass")) - (1 << 63)
+            # A page without a host is a host of its own: it is dealt by its content, and equal pages are one.
+            n_units = -(-int(n) // UNIT)
+            rows.append((_pack(kept, rest), has_main, key, key if host is None else key % n_units, n_units == 1))
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "host": batch["host"]} | dict(zip(("packed", "has_main", "key", "salt", "single"), map(list, columns), strict=True)))
+
 
+def _unit(pages: pd.DataFrame) -> pd.DataFrame:
+    """A unit's pages: the first of equal ones as leads, the first row with the number of these and the candidates."""
+    pages = pages.sort_values("key", kind="stable").reset_index(drop=True)
+    leads = ~pages["key"].duplicated()
+    n = int(leads.sum())
+    candidates = None
+    if n and pages["host"].notna().iloc[0]:
+        prints = _Fingerprints()
+        suffixes, count = np.unique(np.concatenate([prints.page(*_unpack(p)) for p in pages["packed"][leads]]), return_counts=True)
+        enough = count * 100 >= LEAST_PERCENT * n
+        if pages["single"].iloc[0]:
+            enough &= count >= LEAST_PAGES
+        candidates = suffixes[enough].view(np.int64)
+    out = pages[["page_id", "url", "host", "packed", "has_main"]].assign(leads=leads)
+    out["n_pages"] = pd.array([n] + [None] * (len(out) - 1), "Int64")
+    out["candidates"] = pd.Series([candidates] + [None] * (len(out) - 1), dtype=object)
+    return out
 
-def _main_texts(batches):
+
+def _counted(batches):
+    """Pages of a task that hold each candidate of their host."""
+    prints, found = _Fingerprints(), Counter()
     for batch in batches:
-        found = [parse(page) for page in batch["html"]]
-        keep = [f[2] for f in found]
-        texts = ["\n\n".join(f[0]) for f in found if f[2]]
-        if texts:  # empty columns have no type
-            yield pd.DataFrame({"page_id": batch["page_id"][keep], "url": batch["url"][keep], "text": texts, "n_chars": [len(t) for t in texts]})
+        for host, packed, candidates in zip(batch["host"], batch["packed"], batch["candidates"], strict=True):
+            held = np.intersect1d(prints.page(*_unpack(packed)).view(np.int64), np.asarray(candidates, np.int64))
+            found.update((host, h) for h in held.tolist())
+        if len(found) > 1 << 18:
+            yield _flat(found)
+            found.clear()
+    if found:
+        yield _flat(found)
+
+
+def _flat(found: Counter) -> pd.DataFrame:
+    return pd.DataFrame({"host": [k[0] for k in found], "h": [k[1] for k in found], "n": list(found.values())})
 
 
-def _unique_runs(batches):
+def _unique_runs(blocks: list[str], repeated: np.ndarray, has_main: bool, prints: _Fingerprints) -> list[str]:
+    """The blocks without the tokens that repeated suffixes cover."""
+    tokens = [b.split(" ") for b in blocks]
+    suffixes = prints.suffixes([t for ts in tokens for t in ts]).view(np.int64)
+    covers = np.zeros(sum(map(len, tokens)) + 1, np.int64)
+    starts = np.flatnonzero(np.isin(suffixes, repeated))
+    np.add.at(covers, starts, 1)
+    np.add.at(covers, starts + WINDOW, -1)
+    stay, kept, at = np.cumsum(covers) == 0, [], 0
+    for ts in tokens:
+        left = [t for t, s in zip(ts, stay[at : at + len(ts)], strict=True) if s]
+        at += len(ts)
+        if left and not (not has_main and len(ts) < WINDOW and prints.whole(ts).view(np.int64)[0] in repeated):
+            kept.append(" ".join(left))
+    return kept
+
+
+def _texts(batches):
+    prints = _Fingerprints()
     for batch in batches:
         texts = []
-        for blocks, repeated in zip(batch["blocks"], batch["repeated"], strict=True):
-            repeated, kept = set(repeated if repeated is not None else ()), []
-            for block in blocks:
-                tokens = block.split(" ")
-                stay = np.ones(len(tokens), bool)
-                for i, h in enumerate(_stream(tokens)):
-                    if h in repeated:
-                        stay[i : i + WINDOW] = False
-                if stay.any():
-                    kept.append(" ".join(t for t, s in zip(tokens, stay, strict=True) if s))
-            texts.append("\n\n".join(kept))
+        for packed, has_main, elsewhere in zip(batch["packed"], batch["has_main"], batch["elsewhere"], strict=True):
+            blocks, repeated = _unpack(packed)[0], None if has_main else elsewhere
+            if blocks and repeated is not None and len(repeated):
+                blocks = _unique_runs(blocks, np.asarray(repeated, np.int64), has_main, prints)
+            texts.append("\n\n".join(blocks))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
 def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, text (blocks joined by blank lines; empty if none), n_chars of every row.
 
-    Null and empty pages have an empty text; a null url has a host of its own; rows that repeat a page are one page
-    of their host; other columns are ignored.
+    Null and empty pages have an empty text; a page with a null or relative url has a host of its own; pages of equal
+    blocks are one page of their host; other columns are ignored.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
         F.col(url).alias("url"),
-        F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
+        F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
         F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
-    result = "page_id long, url string, text string, n_chars long"
-    streams = cut(rows.mapInPandas(_outside_streams, "page_id long, url string, host string, suffixes array<long>, blocks array<string>"), "html-streams")
-    page_key = F.coalesce("page_id", F.xxhash64("url"))
-    suffixes = streams.select(page_key.alias("page"), F.explode("suffixes").alias("h"), "host").select("page", "h", F.xxhash64("host", "h").alias("key"))
-    shared = suffixes.groupBy("key").agg(F.min("page").alias("p0"), F.max("page").alias("p1"), F.count("*").alias("n")).where("p0 != p1")
-    shared = cut(shared.select("key", "n"), "html-shared")
-
-    bare = streams.where("blocks IS NOT NULL").withColumn("row", F.monotonically_increasing_id())
-    bare = cut(bare, "html-bare")
-    asked = bare.select("row", F.explode("suffixes").alias("h"), "host").select("row", "h", F.xxhash64("host", "h").alias("key"))
-    marked = attach_groups(asked, shared, "key", F.xxhash64("row", "h"), "n").where("n IS NOT NULL")
-    repeated = marked.groupBy("row").agg(F.collect_list("h").alias("repeated"))
-    unique = bare.join(repeated, "row", "left").select("page_id", "url", "blocks", "repeated").mapInPandas(_unique_runs, result)
-    return rows.select("page_id", "url", "html").mapInPandas(_main_texts, result).unionByName(unique)
+    spread = F.xxhash64("page_id", "url")
+    sizes = cut(rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n")), "html-hosts")
+    sized = attach_groups(rows, sizes, "host", spread, "n").withColumn("n", F.coalesce("n", F.lit(1)))
+    streams = sized.mapInPandas(_streams, "page_id long, url string, host string, packed binary, has_main boolean, key long, salt long, single boolean")
+    units = streams.groupBy("host", "salt").applyInPandas(_unit, "page_id long, url string, host string, packed binary, has_main boolean, leads boolean, n_pages long, candidates array<long>")
+    units = cut(units, "html-units")
+
+    named = units.where("host IS NOT NULL AND n_pages IS NOT NULL")
+    asked = named.select("host", F.explode("candidates").alias("h")).groupBy("host").agg(F.collect_set("h").alias("candidates"))
+    asked = cut(asked.join(sizes, "host"), "html-candidates")
+    leads = attach_groups(units.where("leads").select("host", "packed"), asked, "host", F.xxhash64("packed"), "n").where("candidates IS NOT NULL")
+    counts = leads.select("host", "packed", "candidates").mapInPandas(_counted, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("held"))
+    pages_of = named.groupBy("host").agg(F.sum("n_pages").alias("n_pages"))
+    percent = 100 * F.col("held")
+    of = counts.join(pages_of, "host").where((F.col("held") >= LEAST_PAGES) & (percent >= LEAST_PERCENT * F.col("n_pages")))
+    lists = of.groupBy("host").agg(F.collect_list("h").alias("elsewhere"))
+    lists = cut(lists.join(sizes, "host"), "html-repeated")
+    marked = attach_groups(units.select("page_id", "url", "host", "packed", "has_main"), lists, "host", spread, "n")
+    return marked.select("packed", "has_main", "elsewhere", "page_id", "url").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
