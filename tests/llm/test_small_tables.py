@@ -265,6 +265,15 @@ def test_html_main_element_before_its_class():
     assert html_extract.parse("<article><p>x<article class='comment'><p>y</article></article>")[0] == ["x"]
 
 
+def test_html_article_notices(spark):
+    notice = "<p>Read our terms</p><p>and give your consent to all of them today</p>"
+    pages = [(i, f"http://h/{i}", f"<article>{notice}<p>" + " ".join(f"w{i}x{j}" for j in range(20)) + "</p><p>Short head</p></article>") for i in range(200)]
+    pages += [(300 + i, f"http://two/{i}", f"<article>{notice}<p>only{i}</p></article>") for i in range(2)]
+    got = by_id(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert all(got[i]["text"] == " ".join(f"w{i}x{j}" for j in range(20)) + "\n\nShort head" for i in range(200))
+    assert got[300]["text"].startswith("Read our terms")  # too few pages for the guard of articles
+
+
 def test_warc(spark):
     big = "<p>" + "y" * 2000
     pages = [(1, "http://a/\r\nX: y", big, 0), (2, "http://b", big, 0), (3, None, "small", 0), (4, "u", "small", 0), (5, "u", None, 0), (6, "é", "é" * 600, 0), (2, "http://b", big, 0)]

@@ -5,7 +5,7 @@ id. A page with an article or main element keeps that element's blocks, another
 that are not mostly links. What is kept is one token stream a page. The suffixes of a host's streams are sorted by their
 first WINDOW tokens (as fingerprints), and runs of equal ones from enough distinct pages mark the tokens that they
 cover; covered tokens go. A substring of WINDOW tokens or more repeats just where all its windows do, so the covers are
-those of a whole suffix array.
+those of a whole suffix array. Articles have a guard: more pages must repeat what is taken from them.
 
 Hosts are cut into units of UNIT pages or so. What reaches a share of a host's pages reaches it in one of the host's
 units at least, so units name candidates first, and then these alone are counted over all pages: nothing is missed.
@@ -28,8 +28,9 @@ from textloom.llm.common import attach_groups, cut
 
 #: Tokens of a repeated substring at least (a shorter block counts as a whole, outside articles); share of a block's characters in links at most.
 WINDOW, LINK_SHARE = 8, 0.6
-#: Distinct pages of a host that repeat a substring at least, as a number and in percent.
+#: Distinct pages of a host that repeat a substring at least, as a number and in percent; the same within articles.
 LEAST_PAGES, LEAST_PERCENT = 2, 30
+ARTICLE_PAGES, ARTICLE_PERCENT = 3, 50
 #: Pages that are searched for candidates together.
 UNIT = 64
 
@@ -265,8 +266,8 @@ def _texts(batches):
     prints = _Fingerprints()
     for batch in batches:
         texts = []
-        for packed, has_main, elsewhere in zip(batch["packed"], batch["has_main"], batch["elsewhere"], strict=True):
-            blocks, repeated = _unpack(packed)[0], None if has_main else elsewhere
+        for packed, has_main, in_articles, elsewhere in zip(batch["packed"], batch["has_main"], batch["in_articles"], batch["elsewhere"], strict=True):
+            blocks, repeated = _unpack(packed)[0], in_articles if has_main else elsewhere
             if blocks and repeated is not None and len(repeated):
                 blocks = _unique_runs(blocks, np.asarray(repeated, np.int64), has_main, prints)
             texts.append("\n\n".join(blocks))
@@ -300,7 +301,8 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     pages_of = named.groupBy("host").agg(F.sum("n_pages").alias("n_pages"))
     percent = 100 * F.col("held")
     of = counts.join(pages_of, "host").where((F.col("held") >= LEAST_PAGES) & (percent >= LEAST_PERCENT * F.col("n_pages")))
-    lists = of.groupBy("host").agg(F.collect_list("h").alias("elsewhere"))
+    guarded = (F.col("held") >= ARTICLE_PAGES) & (percent >= ARTICLE_PERCENT * F.col("n_pages"))
+    lists = of.groupBy("host").agg(F.collect_list(F.when(guarded, F.col("h"))).alias("in_articles"), F.collect_list("h").alias("elsewhere"))
     lists = cut(lists.join(sizes, "host"), "html-repeated")
     marked = attach_groups(units.select("page_id", "url", "host", "packed", "has_main"), lists, "host", spread, "n")
-    return marked.select("packed", "has_main", "elsewhere", "page_id", "url").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    return marked.select("packed", "has_main", "in_articles", "elsewhere", "page_id", "url").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
