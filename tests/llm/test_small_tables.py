@@ -175,6 +175,14 @@ def test_decontaminate(spark, docs, empty):
     assert decontam.decontaminate(rows, items.limit(0)).count() == 0
 
 
+def test_decontaminate_items_without_windows(spark):
+    items = [(1, "12 kg, 15 kg, 18 kg, 20 kg?"), (2, "short one"), (3, None), (4, "12 kg, 15 kg, 18 kg, 21 kg?"), (5, "short one")]
+    texts = ["We weighed 12 kg, 15 kg, 18 kg, 20 kg, and then 12 kg, 15 kg, 18 kg, 20 kg again", "Short one!", "this is a short one", "12 kg, 15 kg, 18 kg", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    got = decontam.decontaminate(rows, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 1, 1.0, 1), (1, 2, 1, 1, 1.0, 0), (1, 5, 1, 1, 1.0, 0)]
+
+
 def test_near_duplicates_edges(spark, docs, empty):
     got = by_id(minhash.near_duplicates(docs))
     assert [got[i]["component_id"] for i in range(14)] == [0, 1, 2, 3, 3, 3, 6, 6, 8, 8, 8, 11, 12, 13]

@@ -63,9 +63,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     """doc_id, item_id, n_windows (of the item), n_matched (its distinct windows found), coverage, n_slots_checked of all findings.
 
     A finding is a document in which at least ``coverage`` of an item's windows match with consistent slots. Windows with
-    more than MOST_SLOTS slots say too little and don't count; items without a window that counts (fewer than
-    ``window`` tokens, null or empty texts) are found nowhere. Rows that repeat an id are searched as one document or
-    item; equal items are each found; null ids are not reported; other columns are ignored.
+    more than MOST_SLOTS slots say too little and don't count. Items without a window that counts are found where all
+    their words, values included, stand in a row in a document; those of fewer than ``window`` tokens, where they are the
+    whole document. Such a match is one window. Null and empty items are found nowhere. Rows that repeat an id are
+    searched as one document or item; equal items are each found; null ids are not reported; other columns are ignored.
     """
     # Each list is a column of its own before it is used more than once, or it would be computed anew for each element;
     # explode_outer, as for explode Spark puts a filter that computes the whole list again below all of these columns.
@@ -86,7 +87,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     sound = hits.withColumn("shift", F.col("at") - F.col("item_at")).join(wrong, ["doc_id", "item_id", "shift"], "left_anti")
     counts = sound.groupBy("doc_id", "item_id").agg(F.countDistinct("item_at").alias("n_matched"), F.countDistinct(F.when(F.col("n_slots") > 0, F.col("item_at"))).alias("n_slots_checked"))
     out = counts.join(_maybe_broadcast(sizes), "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"), "n_slots_checked")
+    out = out.select("doc_id", "item_id", "n_windows", "n_matched", F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"), "n_slots_checked")
+    lone = items.select("item_id", "item_words", "typed").join(sizes, "item_id", "left_anti").where(F.size("item_words") > 0)
+    lone = cut(lone, "leak-lone")
+    return out if lone.isEmpty() else out.unionByName(_verbatim(rows, lone, window))
+
+
+def _verbatim(rows: DataFrame, lone: DataFrame, window: int) -> DataFrame:
+    """The findings of items (item_id, item_words, typed) that have no window that counts: by all of their words."""
+    words = rows.select("doc_id", tokens(F.col("text")).alias("words"))
+    # Starts are found by hashes of the first words, then whole items are compared.
+    long = lone.where(F.size("item_words") >= window)
+    starts = long.select("item_id", "item_words", "typed", F.xxhash64(*[F.get("item_words", F.lit(k)) for k in range(window)]).alias("h"))
+    asked = _maybe_broadcast(starts.select("h").distinct())
+    found = words.select("doc_id", _windows(F.col("words"), window).alias("w")).select("doc_id", F.explode_outer("w").alias("w")).where("w IS NOT NULL").select("doc_id", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+    found = cut(found.join(asked, "h", "left_semi"), "leak-starts")
+    at = words.join(_maybe_broadcast(found), "doc_id").join(_maybe_broadcast(starts), "h")
+    inside = at.where(F.slice("words", F.col("at") + 1, F.size("item_words")) == F.col("item_words"))
+    short = lone.where(F.size("item_words") < window)
+    whole = words.where(F.size("words") < window).join(_maybe_broadcast(short), F.col("words") == F.col("item_words"))
+    both = inside.select("doc_id", "item_id", "typed").unionByName(whole.select("doc_id", "item_id", "typed")).dropDuplicates(["doc_id", "item_id"])
+    one = F.lit(1).cast("long")
+    return both.select("doc_id", "item_id", one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("coverage"), F.exists("typed", _is_slot).cast("long").alias("n_slots_checked"))
 
 
 def _slotted(hits: DataFrame, sizes: DataFrame, coverage: float) -> DataFrame:
