@@ -8,7 +8,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, components, decontam, exact_dedup, html_extract, langid, minhash, sstable, suffix, toxicity, warc
+from textloom.llm import bpe, components, decontam, exact_dedup, html_extract, langid, minhash, queries, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch
 
 LONG = " ".join(f"word{i % 997} other{i % 331}" for i in range(6000))
@@ -303,6 +303,20 @@ def test_warc(spark):
     assert warc.read_facts(spark, empty).count() == 0
 
 
+def test_warc_facts_of_rebuilt_records(spark, monkeypatch):
+    big = "<p>\r\n\r\n" + "é" * 2000
+    pages = [(1, "http://é/\r\nX: y", big), (2, "http://b", big), (3, None, "small"), (4, "u", ""), (5, "u", None), (-6, "u", "\r\n\r\n")]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    path = scratch(spark, "test-warc")
+    warc.write_archive(rows, path)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = sorted(map(tuple, warc.record_facts(spark, path).select(names).collect()))
+    assert got == sorted(map(tuple, warc.read_facts(spark, path).select(names).collect())) and len(got) == 6
+    asked = []
+    monkeypatch.setattr(queries.warc, "read_records", lambda *a, f=warc.read_records: asked.append(a) or f(*a))
+    assert queries.op9_warc(spark, "/root/testdata/sf0.001").columns == names and asked  # the query rebuilds records
+
+
 def brute_repeats(rows, length):
     first: dict = {}
     for d, t in sorted(rows):

@@ -86,8 +86,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type and the exact bytes of each record: WARC header, HTTP header, payload of responses."""
     headers, payloads = _stored(spark, path)
     headers = headers.withColumn("copy", F.pmod(F.xxhash64("page_id"), F.col("copies")).cast("int"))
-    copies = headers.groupBy("digest").agg(F.max("copies").alias("copies"))
-    payloads = payloads.join(copies, "digest").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    # Digests with more than one copy are fewer than records / RECORDS_PER_COPY; by broadcast, payloads are shuffled once.
+    copies = headers.where("copies > 1").groupBy("digest").agg(F.max("copies").alias("copies"))
+    payloads = payloads.join(F.broadcast(copies), "digest", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    payloads = payloads.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     kind = _field("WARC-Type")
     body = F.when(kind == "response", F.col("payload")).otherwise(F.lit(b""))
     record = F.concat("warc_header", "http_header", body, F.lit(b"\r\n\r\n"))
@@ -114,3 +116,29 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
     )
+
+
+def record_facts(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records that read_records rebuilds.
+
+    All but page_id is taken from a record's own bytes: header fields, and the payload after the HTTP header. A revisit
+    has no payload of its own; that is the one it was joined with. Each must have the digest that its header states.
+    """
+    # One character a byte, so that places in the text are places in the record.
+    chars = F.decode("record", "ISO-8859-1")
+    rows = read_records(spark, path).select("page_id", "record", "payload", F.substring_index(chars, "\r\n\r\n", 2).alias("heads"))
+    rows = rows.withColumn("warc_header", F.encode(F.concat(F.substring_index("heads", "\r\n\r\n", 1), F.lit("\r\n")), "ISO-8859-1"))
+    kind = _field("WARC-Type")
+    start = F.length("heads") + 4
+    own = F.substring("record", start + 1, F.octet_length("record") - start - 4)
+    rows = rows.select("page_id", "warc_header", F.when(kind == "response", own).otherwise(F.col("payload")).alias("body"))
+    facts = rows.select("page_id", "warc_header", F.octet_length("body").cast("long").alias("payload_bytes"), F.sha1("body").alias("sha1"))
+    sound = F.when(_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("sha1")), F.col("sha1"))
+    refers = F.regexp_extract(_field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1)
+    return facts.select(
+        "page_id",
+        "payload_bytes",
+        F.coalesce(sound, F.raise_error(F.lit("a rebuilt record's payload differs from its header")).cast("string")).alias("payload_digest"),
+        kind.alias("record_type"),
+        F.when(refers != "", refers.cast("long")).alias("refers_to"),
+    )
