@@ -3,36 +3,24 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textloom.storage import cut, scratch, shared_dir
+
+__all__ = ["attach_groups", "cut", "map_texts", "partitions", "scratch", "shared_dir", "text_or_empty", "worker_cache"]
 
 #: A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are
 #: fewer than HOT_SHARE hot groups whatever the input: the bound of every
 #: broadcast below.
 HOT_SHARE = 1024
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one where unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}/textloom-shared").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: ends the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Texts that map_texts hands over at once.
+TEXTS_AT_ONCE = 512
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,23 +36,50 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], fields: str, text: str = "text") -> DataFrame:
+    """rows without the text column, with the columns ``fields`` (DDL) that a function gives for lists of texts.
+
+    make() returns that function in each task; it returns a list of values for each field. All other columns, such as
+    ids, stay the Arrow arrays they are: nulls and integers of 64 bits never pass through pandas.
+    """
+    kept = [f for f in rows.schema if f.name != text]
+    added = T.StructType.fromDDL(fields)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        function, names = make(), [f.name for f in (*kept, *added)]
+        kinds = [to_arrow_type(f.dataType) for f in added]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                b = whole.slice(at, TEXTS_AT_ONCE)
+                found = function(b.column(text).to_pylist())
+                arrays = [b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return rows.mapInArrow(run, T.StructType([*kept, *added]))
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, spread: Column, weight: str) -> DataFrame:
     """rows left join groups on key, safe for a key that holds any share of the rows.
 
     groups has one row per key and in ``weight`` the number of rows of that key; it is read twice, so pass a table
     that was cut. Groups above 1/HOT_SHARE of the total weight are fewer than HOT_SHARE and go by broadcast; the
     others by a shuffle in which no key is hot. ``spread`` deals the rows that need no partner over all tasks.
-    Keys that are null match nothing.
+    Keys that are null match nothing. Helper columns have names of their own, whatever columns rows has.
     """
+    tag = uuid.uuid4().hex[:12]
+    hot_key, hot, cold_key, cold, cold_salt, row_key, row_salt = (f"_{n}_{tag}" for n in ("hot_key", "hot", "cold_key", "cold", "cold_salt", "row_key", "row_salt"))
     total = groups.agg(F.sum(weight)).first()[0] or 0
     values = [c for c in groups.columns if c != key]
-    packed = groups.select(F.col(key).alias("_key"), F.struct(*values).alias("_group"))
-    is_hot = F.col(f"_group.{weight}") * HOT_SHARE > total
-    hot = packed.where(is_hot).select(F.col("_key").alias("_hot_key"), F.col("_group").alias("_hot"))
-    cold = packed.where(~is_hot).withColumn("_salt", F.lit(0).cast("long"))
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").drop("_hot_key")
-    lone = F.col("_hot").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_row_key", F.when(~lone, F.col(key))).withColumn("_row_salt", F.when(lone, F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
-    out = out.join(cold, (F.col("_row_key") == F.col("_key")) & (F.col("_row_salt") == F.col("_salt")), "left")
-    found = F.coalesce(F.col("_hot"), F.col("_group"))
+    packed = groups.select(F.col(key).alias(cold_key), F.struct(*values).alias(cold))
+    is_hot = F.col(f"{cold}.{weight}") * HOT_SHARE > total
+    few = packed.where(is_hot).select(F.col(cold_key).alias(hot_key), F.col(cold).alias(hot))
+    many = packed.where(~is_hot).withColumn(cold_salt, F.lit(0).cast("long"))
+    out = rows.join(F.broadcast(few), F.col(key) == F.col(hot_key), "left").drop(hot_key)
+    lone = F.col(hot).isNotNull() | F.col(key).isNull()
+    out = out.withColumns({row_key: F.when(~lone, F.col(key)), row_salt: F.when(lone, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))})
+    out = out.join(many, (F.col(row_key) == F.col(cold_key)) & (F.col(row_salt) == F.col(cold_salt)), "left")
+    found = F.coalesce(hot, cold)
     return out.select(*rows.columns, *[found[c].alias(c) for c in values])
