@@ -7,17 +7,20 @@ n-grams (five down to one). The model is fitted on a bounded sample of labelled
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import text_or_empty, worker_cache
+from textloom.llm.common import cut, map_texts, text_or_empty, worker_cache
 
-#: Labelled rows that are used for fitting at most, and words and n-grams (of each length) that the model keeps at most.
-TRAIN_DOCS, MODEL_WORDS, MODEL_GRAMS = 8_000, 60_000, 20_000
+#: Labelled rows that are used for fitting at most.
+TRAIN_DOCS = 8_000
+#: Occurrences in the sample that a word or n-gram of the model has at least: one alone says no more than its parts do.
+LEAST_COUNT = 2
+#: A larger model is an error (fit with fewer rows): it is broadcast.
+MODEL_BYTES = 256 << 20
 LONGEST_GRAM = 5
 #: Words that count towards the confidence of a score at most.
 CONFIDENT_WORDS = 30
@@ -26,54 +29,58 @@ _WORDS_KEPT = 300_000
 
 
 class Model:
-    """words and grams map to per-language counts; scores are log frequencies less their maximum."""
-
-    def __init__(self, langs: list[str], words: dict[str, list[int]], grams: dict[str, list[int]]) -> None:
-        self.langs = langs
-        self.words = self._logs(words)
-        self.grams = {}
-        for n in range(1, LONGEST_GRAM + 1):
-            self.grams |= self._logs({g: c for g, c in grams.items() if len(g) == n})
-
-    def _logs(self, counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        table = np.array(list(counts.values()), float) + 0.5
-        logs = np.log(table / table.sum(axis=0))
-        return dict(zip(counts, (logs - logs.max(axis=1, keepdims=True)).astype(np.float32), strict=True))
+    """Log frequencies by language, less their maximum: a row of ``logs`` for each of ``keys`` (joined by line feeds).
 
-    def word(self, word: str) -> np.ndarray:
-        if (known := self.words.get(word)) is not None:
-            return known
-        padded = f"^{word}$"
-        for n in range(LONGEST_GRAM, 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+    ``sizes`` has 0 for a whole word and its length for an n-gram of a word between ^ and $.
+    """
+
+    def __init__(self, langs: list[str], keys: str, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.langs, self.keys, self.sizes = langs, keys, sizes.astype(np.uint8)
+        self.logs = np.zeros(counts.shape, np.float32)
+        for size in range(LONGEST_GRAM + 1):
+            own = self.sizes == size
+            smooth = counts[own] + 0.5
+            logs = np.log(smooth / smooth.sum(axis=0)) if len(smooth) else smooth
+            self.logs[own] = logs - logs.max(axis=1, keepdims=True) if len(logs) else logs
+
+    def n_bytes(self) -> int:
+        return len(self.keys) * 4 + self.logs.nbytes + self.sizes.nbytes
 
 
 class Scorer:
     def __init__(self, model: Model) -> None:
         import regex
 
-        self.model, self.find = model, regex.compile(r"\p{L}+").findall
+        self.find, self.langs, self.logs = regex.compile(r"\p{L}+").findall, model.langs, model.logs
+        keys = model.keys.split("\n") if len(model.sizes) else []
+        self.words = {k: i for i, (k, n) in enumerate(zip(keys, model.sizes, strict=True)) if n == 0}
+        self.grams = {k: i for i, (k, n) in enumerate(zip(keys, model.sizes, strict=True)) if n}
         self.start()
 
     def start(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1024, max(1, len(self.model.langs))), np.float32)
+        self.table = np.zeros((1024, max(1, len(self.langs))), np.float32)
+
+    def word(self, word: str) -> np.ndarray:
+        if (known := self.words.get(word)) is not None:
+            return self.logs[known]
+        padded = f"^{word}$"
+        for n in range(LONGEST_GRAM, 0, -1):
+            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
+            if found:
+                return self.logs[found].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
     def _row(self, word: str) -> int:
         n = self.rows[word] = len(self.rows)
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = self.model.word(word)
+        self.table[n] = self.word(word)
         return n
 
     def __call__(self, text: str) -> tuple[str, float]:
         words = self.find(text.lower())
-        if not words or not self.model.langs:
+        if not words or not self.langs:
             return UNKNOWN, 0.0
         if len(self.rows) > _WORDS_KEPT:
             self.start()
@@ -84,69 +91,71 @@ class Scorer:
         mean = total[used].astype(np.float64) @ self.table[used] / len(words)
         z = np.exp((mean - mean.max()) * min(len(words), CONFIDENT_WORDS))
         best = int(z.argmax())
-        return self.model.langs[best], float(z[best] / z.sum())
+        return self.langs[best], float(z[best] / z.sum())
+
+
+def _grams(padded: Column, n: int) -> Column:
+    """Structs (size, key) of all n-grams of a word."""
+    at = F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - (n - 1)))
+    # One parameter only: transform would give a second one the element's place.
+    grams = F.transform(at, lambda i: F.struct(F.lit(n).alias("size"), F.substring(padded, i, F.lit(n)).alias("key")))
+    return F.coalesce(grams, F.array().cast("array<struct<size:int,key:string>>"))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
-    """Fits on at most max_docs rows with text and label, chosen by a hash of doc_id; counting runs on Spark.
+    """Fits on at most max_docs rows with id, text and label, chosen by a hash of doc_id; counting runs on Spark.
 
-    The driver gets the model only, at most MODEL_WORDS words and MODEL_GRAMS n-grams of each length.
+    Of rows that repeat a chosen id one counts. The driver gets the counts of the model's words and n-grams as Arrow
+    columns, nothing of the texts.
     """
-    rows = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    rows = labelled.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct()
     sample = rows.join(F.broadcast(chosen), "id")  # at most max_docs ids
-    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''").groupBy("word", "lang").count()
-
-    def counts(table: DataFrame, key: str, most: int) -> list:
-        whole = table.groupBy(key).agg(F.collect_list(F.struct("lang", "count")).alias("by"), F.sum("count").alias("n"))
-        return whole.orderBy(F.desc("n"), key).limit(most).select(key, "by").collect()
-
-    words = words.persist()
-    try:
-        found = counts(words, "word", MODEL_WORDS)
-        padded = F.concat(F.lit("^"), "word", F.lit("$"))
-        grams = []
-        for n in range(1, LONGEST_GRAM + 1):
-            at = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-            cut = F.transform(at, lambda i, n=n: F.substring(padded, i, F.lit(n)))
-            table = words.select("lang", "count", F.explode(cut).alias("gram")).where(F.length("gram") == n)
-            grams += counts(table.groupBy("gram", "lang").agg(F.sum("count").alias("count")), "gram", MODEL_GRAMS)
-    finally:
-        words.unpersist()
-    langs = sorted({x["lang"] for r in found for x in r["by"]})
-    place = {x: i for i, x in enumerate(langs)}
-
-    def table(rows: Iterable) -> dict[str, list[int]]:
-        out = {}
-        for key, by in rows:
-            out[key] = [0] * len(langs)
-            for x in by:
-                out[key][place[x["lang"]]] = x["count"]
-        return out
-
-    return Model(langs, table(found), table(grams))
+    sample = cut(sample.groupBy("id").agg(F.min(F.struct("lang", "text")).alias("x")).select("x.*"), "language-sample")
+    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    if not langs:
+        return Model([], "", np.zeros(0), np.zeros((0, 0)))
+    by_lang = [F.count_if(F.col("lang") == x).alias(f"n{i}") for i, x in enumerate(langs)]
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word != ''").groupBy("word").agg(*by_lang)
+    padded = F.concat(F.lit("^"), "word", F.lit("$"))
+    keys = [F.array(F.struct(F.lit(0).alias("size"), F.col("word").alias("key"))), *[_grams(padded, n) for n in range(1, LONGEST_GRAM + 1)]]
+    counts = [f"n{i}" for i in range(len(langs))]
+    parts = words.select(*counts, F.explode(F.concat(*keys)).alias("x")).groupBy("x.size", "x.key").agg(*[F.sum(c).alias(c) for c in counts])
+    found = parts.where(sum((F.col(c) for c in counts[1:]), F.col(counts[0])) >= LEAST_COUNT).toArrow()
+    table = np.stack([found[c].to_numpy() for c in counts], axis=1)
+    model = Model(langs, "\n".join(found["key"].to_pylist()), found["size"].to_numpy(), table)
+    if model.n_bytes() > MODEL_BYTES:
+        raise ValueError(f"the model has {model.n_bytes()} bytes, more than {MODEL_BYTES}; fit on fewer rows")
+    return model
+
+
+def _shared_scorer(df: DataFrame, model: Model) -> Callable[[], Scorer]:
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most MODEL_BYTES
+
+    def scorer() -> Scorer:
+        cache = worker_cache()
+        if cache.get("langid", ("",))[0] != name:
+            cache["langid"] = (name, Scorer(shared.value))
+        return cache["langid"][1]
+
+    return scorer
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of every row.
 
     Null and empty texts and texts without letters get ``und`` and 0, as does every text if the model knows no
-    language. Ties go to the language that sorts first; repeated rows each get a result; other columns are ignored.
+    language. Ties go to the language that sorts first; repeated rows each get a result; null ids stay null; other
+    columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
-    name = uuid.uuid4().hex
+    scorer = _shared_scorer(docs, model)
 
-    def score(batches):
-        cache = worker_cache()
-        if cache.get("langid", ("",))[0] != name:
-            cache["langid"] = (name, Scorer(shared.value))
-        scorer = cache["langid"][1]
-        for batch in batches:
-            found = [scorer(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
+    def make():
+        score = scorer()
+        return lambda texts: list(zip(*map(score, texts), strict=True))
 
-    return rows.mapInPandas(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_texts(rows, make, "lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -154,18 +163,14 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
 
     Null texts and texts without letters go.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
-    name = uuid.uuid4().hex
+    scorer = _shared_scorer(docs, model)
 
     def keep(batches):
         import pyarrow as pa
 
-        cache = worker_cache()
-        if cache.get("langid", ("",))[0] != name:
-            cache["langid"] = (name, Scorer(shared.value))
-        scorer = cache["langid"][1]
+        score = scorer()
         for batch in batches:
-            found = [scorer(t or "") for t in batch.column(text).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            found = [score(t or "") for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
