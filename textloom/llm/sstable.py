@@ -19,7 +19,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -186,17 +185,18 @@ class WordEncoder:
     """A public tokenizer's ids of whole texts, by way of the ids of each distinct word between blanks or line feeds.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order. The
-    tokenizers library encodes each word that is not in the cache; strings of special tokens are ordinary text.
+    tokenizers library encodes each word that is not in the cache; a special token's string in a text is that token, as
+    in the library's own call, or with ``special_as_text`` ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int | None) -> None:
+    def __init__(self, path: str, end_id: int | None, special_as_text: bool = False) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -213,6 +213,9 @@ class WordEncoder:
             return (word,)
         # A capital sigma's lower case depends on its place for Python, not for the tokenizer.
         low = letters if "\u03a3" in letters else letters.lower()
+        # Some capitals, as I with a dot, become a letter and a sign, which the tokenizer joins to the signs after it.
+        if not low.isalpha():
+            return (word,)
         return (low,) if len(letters) == len(word) else (low, word[len(letters) :])
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
@@ -250,6 +253,16 @@ class WordEncoder:
         return [np.frombuffer(b"".join(map(known, words)) + self.end, f"<u{self.width}") for words in split]
 
 
+def to_arrow(rows: list[tuple], schema: T.StructType):
+    """A record batch of rows."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], names=kinds.names)
+
+
 def open_filesystem(uri: str):
     """pyarrow's file system for a URI, and the path on it."""
     from pyarrow import fs
@@ -258,6 +271,7 @@ def open_filesystem(uri: str):
 
 
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("uri", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_bytes", T.LongType())])
+ENTRIES = T.StructType([*(T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")), T.StructField("shard", T.IntegerType())])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, text: str = "text", doc_id: str = "doc_id", shards: int | None = None) -> DataFrame:
@@ -275,7 +289,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        batches = (b for b in batches if len(b))
+        batches = (b for b in batches if b.num_rows)
         first = next(batches, None)
         if first is None:
             return
@@ -289,16 +303,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         with files.open_output_stream(attempt) as out:
             writer = ShardWriter(out, encoder.width)
             while first is not None:
-                for at in range(0, len(first), 256):
-                    part = first.iloc[at : at + 256]
-                    for i, ids in zip(part["doc_id"].tolist(), encoder.encode_batch(part["text"]), strict=True):
-                        writer.add(key_of(None if i is None or i != i else int(i)), ids)
+                for at in range(0, first.num_rows, 256):
+                    part = first.slice(at, 256)
+                    for i, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_batch(part.column("text").to_pylist()), strict=True):
+                        writer.add(key_of(i), ids)
                 first = next(batches, None)
             writer.close()
         files.move(attempt, name)
-        yield pd.DataFrame({"shard": [shard], "uri": [f"{path}/shard-{shard:06d}.sst"], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens], "n_bytes": [writer.offset]})
+        yield to_arrow([(shard, f"{path}/shard-{shard:06d}.sst", len(writer.keys), writer.tokens, writer.offset)], MANIFEST)
 
-    manifest = dealt.mapInPandas(write, MANIFEST)
+    manifest = dealt.mapInArrow(write, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
@@ -313,14 +327,14 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for shard, uri, base in zip(batch["shard"], batch["uri"], batch["base"], strict=True):
+            for shard, uri, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "uri", "base")), strict=True):
                 files, name = open_filesystem(uri)
                 with files.open_input_file(name) as f:
                     rows = [(id_of(k), base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), shard) for k, start, ids in ShardReader(f).scan()]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "shard"]).astype({"doc_id": "Int64"})
+                yield to_arrow(rows, ENTRIES)
 
     spread = bases.repartition(partitions(manifest.sparkSession), "shard")
-    return spread.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    return spread.mapInArrow(read, ENTRIES)
 
 
 def encode_to_shards(docs: DataFrame, tokenizer: str, end_id: int | None, **options) -> DataFrame:
