@@ -14,12 +14,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach_groups, cut, partitions, text_or_empty, worker_cache
+from textloom.llm.common import attach_groups, cut, map_texts, partitions, text_or_empty, worker_cache
 from textloom.llm.components import components
 
 #: BANDS bands of ROWS values each; half of all values are minima, half maxima. At a similarity of 0.85 a pair shares
@@ -27,6 +26,8 @@ from textloom.llm.components import components
 BANDS, ROWS = 32, 6
 #: Words of 64 places, over which a set's shingles are dealt; for each place the parity of their number is kept.
 PARITY_WORDS = 16
+#: Classes of a bucket that a part of it has, about.
+PART_ROWS = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORDS_KEPT = 500_000
@@ -97,22 +98,17 @@ class Signer:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands, parity."""
 
-    def sign(batches):
-        cache = worker_cache()
-        signer = cache.setdefault(("minhash", size), Signer(size))
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                sets = [signer.shingles(t) for t in part["text"]]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array,
-                    "n_shingles": [len(s) for s in sets],
-                    "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "bands": [signer.bands(s) if len(s) else None for s in sets],
-                    "parity": [signer.parity(s) if len(s) else None for s in sets],
-                })
+    def make():
+        signer = worker_cache().setdefault(("minhash", size), Signer(size))
+
+        def sign(texts):
+            sets = [signer.shingles(t) for t in texts]
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            return [len(s) for s in sets], keys, [signer.bands(s) if len(s) else None for s in sets], [signer.parity(s) if len(s) else None for s in sets]
+
+        return sign
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>, parity array<long>")
+    return map_texts(docs, make, "n_shingles long, set_key binary, bands array<long>, parity array<long>")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -166,18 +162,22 @@ def link(members: DataFrame, parities: DataFrame, texts: DataFrame, size: int, p
     edges = cut(confirm(pairs, texts, size, percent), "near-edges")
     found = components(edges)
 
-    # Buckets whose classes are in several components; a bucket's main component is that of its smallest class.
+    # Buckets whose classes are in several components; a bucket's main component is that of its smallest class. The
+    # classes of a large bucket are dealt over parts of PART_ROWS or so, and those outside its main component go to each
+    # part.
     rows = members.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     rows = cut(rows.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-rows")
-    apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1")
-    rows = cut(rows.join(apart.select("bucket", "main"), "bucket").join(parities, "rep"), "near-apart")
-    outside = rows.where("component != main").select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "n_shingles", "component", "parity")])
+    apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows")).where("c0 != c1")
+    apart = cut(apart.select("bucket", "main", F.ceil(F.col("n_rows") / PART_ROWS).cast("int").alias("parts"), "n_rows"), "near-buckets")
+    rows = attach_groups(rows, apart, "bucket", F.col("rep"), "n_rows").where("main IS NOT NULL").drop("n_rows")
+    rows = cut(rows.join(parities, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), "near-apart")
+    outside = rows.where("component != main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"p_{c}") for c in ("rep", "n_shingles", "component", "parity")])
     # Most pairs of a large group that aren't linked to its smallest member by now are ruled out by the parities of
     # their sets, which prove that they differ too much, without a look at their texts.
     n, m = F.col("n_shingles"), F.col("p_n_shingles")
     most = _at_most_common(n, m, F.col("parity"), F.col("p_parity"))
     possible = _similar_sizes(n, m, percent) & (100 * most >= percent * (n + m - most))
-    near = rows.join(outside, "bucket").where((F.col("component") != F.col("p_component")) & possible)
+    near = rows.join(outside, ["bucket", "part"]).where((F.col("component") != F.col("p_component")) & possible)
     more = near.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
     more = cut(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     more = cut(confirm(more, texts, size, percent), "near-edges")
