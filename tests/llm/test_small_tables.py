@@ -69,6 +69,21 @@ def test_sstable_round_trip(docs, empty, spark):
     assert sstable.encode_to_shards(empty, path, 1).count() == 0
 
 
+def test_word_encoder_equals_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), sstable.WordEncoder(path, None)
+    rng = np.random.default_rng(8)
+    signs = list("aBzéßİıΣσςÒǅﬁ가각日ʼ़́'\u0307.,!?;:#$%&*|0٣½ \n\t\u00a0\u2003<>") + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "'s", "'LL", "word", " Wort,", "İ.", "Òİ."]
+    signs += [chr(int(c)) for c in rng.integers(0x20, 0x3000, 400) if not 0xD800 <= c < 0xE000]
+    texts = ["<|endoftext|> a", "Òİ.", *("".join(rng.choice(signs, int(rng.integers(0, 14)))) for _ in range(20_000))]
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    got = [ids for at in range(0, len(texts), 256) for ids in own.encode_batch(texts[at : at + 256])]
+    wrong = [t for t, a, b in zip(texts, got, want, strict=True) if a.tolist() != b.ids]
+    assert not wrong, wrong[:5]
+
+
 def test_sstable_lookup(tmp_path):
     name = tmp_path / "x.sst"
     docs = [(None, [5]), *((i, list(range(i % 50))) for i in range(-500, 5000, 3)), (4999, [7])]
@@ -90,11 +105,11 @@ def test_sstable_lookup(tmp_path):
         w.add(sstable.key_of(1), np.zeros(1))
 
 
-@pytest.mark.parametrize("chunk,overlap", [(40, 10), (300, 64), (bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS)])
-def test_bpe_equals_whole_texts(docs, empty, chunk, overlap):
+@pytest.mark.parametrize("chunk,overlap,task", [(40, 10, 100), (40, 10, 1 << 30), (300, 64, 500), (bpe.CHUNK_CHARS, bpe.OVERLAP_CHARS, bpe.TASK_CHARS)])
+def test_bpe_equals_whole_texts(docs, empty, chunk, overlap, task):
     ranks, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     codec = bpe.Codec(ranks, pattern)
-    got = by_id(bpe.encode_decode(docs, ranks, pattern, chunk_chars=chunk, overlap=overlap))
+    got = by_id(bpe.encode_decode(docs, ranks, pattern, chunk_chars=chunk, overlap=overlap, task_chars=task))
     for i, t in enumerate(TEXTS):
         ids = codec.encode(t or "")
         assert got[i]["n_tokens"] == len(ids)
@@ -107,8 +122,9 @@ def test_bpe_text_without_a_shared_boundary(spark):
     texts = ["x" * 500 + " y" * 200, "a\n \n  b " * 90, " " * 700 + "z"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    got = by_id(bpe.encode_decode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk_chars=50, overlap=16))
-    assert [got[i]["ids_sha256"] for i in range(3)] == [hashlib.sha256(" ".join(map(str, codec.encode(t))).encode()).hexdigest() for t in texts]
+    for task in (60, 1 << 30):
+        got = by_id(bpe.encode_decode(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, chunk_chars=50, overlap=16, task_chars=task))
+        assert [got[i]["ids_sha256"] for i in range(3)] == [hashlib.sha256(" ".join(map(str, codec.encode(t))).encode()).hexdigest() for t in texts]
 
 
 def test_language(spark, docs, empty):
@@ -152,8 +168,9 @@ def test_counterfactual_penalty_shrinks_identity_weights():
     swapped = x.copy()
     swapped[:, [1, 2]] = swapped[:, [2, 1]]
     pairs = np.flatnonzero(x[:, 1])
-    with_pairs, _ = toxicity.train_weights(x, swapped[pairs], pairs, y)
-    without, _ = toxicity.train_weights(x, x[:0], pairs[:0], y)
+    sparse = lambda m: toxicity.Rows([np.flatnonzero(r) for r in m], 3)
+    with_pairs, _ = toxicity.train_weights(sparse(x), sparse(swapped[pairs]), pairs, y)
+    without, _ = toxicity.train_weights(sparse(x), sparse(x[:0]), pairs[:0], y)
     assert abs(with_pairs[1] - with_pairs[2]) < 0.2 * abs(without[1] - without[2])
 
 
