@@ -457,8 +457,20 @@ def test_repeats_in_random_texts(spark):
     rng = np.random.default_rng(11)
     parts = ["".join(rng.choice(list("ab"), int(rng.integers(5, 90)))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 9))))) for i in range(80)]
-    got = by_id(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))
-    assert {i: tuple(r)[1:] for i, r in got.items()} == brute_repeats(rows, 50)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(6), brute_repeats(rows, 50)
+    for options in ({}, {"hot_docs": 3, "part_bytes": 2000}, {"hot_docs": 0, "part_bytes": 500}):
+        got = by_id(suffix.remove_repeats(df, **options))
+        assert {i: tuple(r)[1:] for i, r in got.items()} == want
+
+
+def test_repeats_null_ids_stay_whole(spark):
+    text = "the same text of more than fifty bytes in three rows, for what it is worth"
+    rows = spark.createDataFrame([(None, text), (2**53 + 1, text), (2**53 + 3, text)], "doc_id long, text string")
+    got = by_id(suffix.remove_repeats(rows))
+    assert {i: r["n_removed"] for i, r in got.items()} == {None: 0, 2**53 + 1: 0, 2**53 + 3: len(text)}
+    assert got[None]["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(rows, length=40_000)
 
 
 def test_attach_groups_with_a_hot_key(spark):

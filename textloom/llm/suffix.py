@@ -4,7 +4,8 @@ Suffixes are dealt before they are sorted. Each window of ``length`` bytes has a
 it; equal windows have equal anchors at equal places, so all windows of one anchor go to one part. Four jobs follow:
 
 1. anchors of all texts are counted by part, packed and folded in each task, to find those of two documents or more;
-2. texts with such anchors give, for each anchor, the context that its windows span; equal contexts are folded;
+2. texts with such anchors give, for each anchor, the context that its windows span; equal contexts are folded. A hot
+   anchor's windows are contexts of their own, and go to parts by their own hash;
 3. each part sorts the suffixes of its different contexts by the difference-cover algorithm (sort the sampled triples,
    recurse on their names, merge the remaining suffixes) and compares adjacent prefixes of ``length`` bytes; a window is
    covered if its run holds a smaller document;
@@ -30,6 +31,13 @@ from textloom.llm.common import partitions, text_or_empty
 ANCHOR, PIECE_BYTES, ARRAY_BYTES = 24, 1 << 17, 1 << 20
 #: Anchors, and bytes of contexts, that a task folds before it passes them on.
 FOLD_ANCHORS, FOLD_BYTES = 2_000_000, 48 << 20
+#: Bytes of text for which there is a part, about; more where executors have memory for it.
+PART_BYTES = 12 << 20
+#: An anchor is hot if it is in more documents than this, and in more than a HOT_SHARE-th of what its part counts: so a
+#: part has fewer than HOT_SHARE hot anchors.
+HOT_DOCS, HOT_SHARE = 20_000, 8
+#: Strings longer than this are refused, as places in contexts are stored in 16 bits.
+MOST_LENGTH = 30_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U32 = np.uint64(0xFFFFFFFF)
 
@@ -89,10 +97,9 @@ def anchors(texts: list[bytes], length: int, k: int = ANCHOR) -> Iterator[tuple[
 def _piece_anchors(texts, piece, length, k, w):
     sizes = np.array([len(texts[i]) for i in piece])
     a = np.frombuffer(b"".join([texts[i] for i in piece]), np.uint8)
-    low = np.uint64((1 << max(1, int(len(a)).bit_length())) - 1)
     h = _gram_hashes(a, k)
-    # Place in the low bits: among equal high bits the leftmost is least, in all equal windows alike.
-    least = _window_min((h & ~low) | np.arange(len(h), dtype=np.uint64), w) & low
+    # Place in the low 32 bits, whatever the piece's size: among equal high bits the leftmost is least, in all equal windows alike.
+    least = _window_min((h & ~_U32) | np.arange(len(h), dtype=np.uint64), w) & _U32
     ends = np.cumsum(sizes)
     starts = ends - sizes
     for i, s, e in zip(piece, starts, ends, strict=True):
@@ -222,7 +229,9 @@ def _anchor_key(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32)) | (h & _U32)
 
 
+#: kind is HOT_KEYS, 0 for what passes to documents, 1 or 2 for what the next job folds.
 ROUTED = "part int, kind int, a binary, b binary"
+HOT_KEYS, TEXT = -1, 9
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -240,7 +249,7 @@ def _shard(doc_id: Column, parts: int) -> Column:
 
 
 def _count_anchors(length: int, parts: int):
-    """Texts to rows (part, SINGLE, ids, keys), (part, MANY, keys, -) and flags that are known already."""
+    """Texts to rows (part, SINGLE, ids, keys), (part, MANY, keys with numbers of documents, -) and flags that are known already."""
 
     def flush(keys: list[np.ndarray], ids: list[np.ndarray]) -> list[tuple]:
         key, doc = np.concatenate(keys), np.concatenate(ids)
@@ -253,9 +262,9 @@ def _count_anchors(length: int, parts: int):
         n = np.diff(np.concatenate([first, [len(key)]]))
         many = np.repeat(n > 1, n)
         rows = _flag_rows(key[many], doc[many], parts)
-        shared = key[first[n > 1]]
+        shared, n_shared = key[first[n > 1]], n[n > 1].astype("<u4")
         for part, at in _split((shared >> np.uint64(32)).astype(np.int64)):
-            rows.append((part, 2, _pack(shared[at]), None))
+            rows.append((part, 2, _pack(shared[at], n_shared[at]), None))
         key, doc = key[~many], doc[~many]
         for part, at in _split((key >> np.uint64(32)).astype(np.int64)):
             at = at[np.argsort(doc[at], kind="stable")]
@@ -290,8 +299,8 @@ def _flag_rows(key: np.ndarray, doc: np.ndarray, parts: int) -> list[tuple]:
     return rows
 
 
-def _find_shared(parts: int):
-    """Rows of _count_anchors, dealt by part (flags by shard), to flags by shard."""
+def _find_shared(parts: int, hot_docs: int):
+    """Rows of _count_anchors, dealt by part (flags by shard), to flags by shard and hot anchors for every shard."""
 
     def find(batches):
         singles, many = [], []
@@ -304,19 +313,24 @@ def _find_shared(parts: int):
                     doc, low = _unpack(a, "<i8", "<u4")
                     singles.append((doc, low.astype(np.uint64) | np.uint64(int(part) << 32)))
                 elif kind == 2:
-                    many.append(_unpack(a, "<u8")[0])
-        if not singles:
-            return
-        doc, key = np.concatenate([x[0] for x in singles]), np.concatenate([x[1] for x in singles])
-        shared = np.unique(np.concatenate(many)) if many else np.zeros(0, np.uint64)
+                    many.append(_unpack(a, "<u8", "<u4"))
+        doc, key = (np.concatenate([x[i] for x in singles] or [np.zeros(0, kind)]) for i, kind in ((0, np.int64), (1, np.uint64)))
+        shared, n_shared = (np.concatenate([x[i] for x in many] or [np.zeros(0, kind)]) for i, kind in ((0, np.uint64), (1, np.uint32)))
         order = np.lexsort((doc, key))
         doc, key = doc[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        last = np.concatenate([first[1:], [len(key)]])
-        hit = (doc[first] != doc[last - 1]) | np.isin(key[first], shared)
-        hit = np.repeat(hit, last - first)
-        if hit.any():
-            yield _frame(_flag_rows(key[hit], doc[hit], parts))
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        last = np.concatenate([first[1:], [len(key)]]) if len(key) else first
+        keys, place = np.unique(np.concatenate([key[first], shared]), return_inverse=True)
+        n_docs = np.bincount(place, np.concatenate([last - first, n_shared]), len(keys))
+        hot = keys[n_docs > max(hot_docs, n_docs.sum() / HOT_SHARE)]
+        if len(hot):
+            packed = _pack(hot)
+            yield _frame([(part, HOT_KEYS, packed, None) for part in range(parts)])
+        if len(key):
+            hit = (doc[first] != doc[last - 1]) | np.isin(key[first], shared)
+            hit = np.repeat(hit, last - first)
+            if hit.any():
+                yield _frame(_flag_rows(key[hit], doc[hit], parts))
 
     return find
 
@@ -368,6 +382,7 @@ def _contexts(length: int, parts: int):
     def run(batches):
         np.seterr(over="ignore")
         flags: list[tuple] = []
+        hot = np.zeros(0, np.uint64)
         ids = keys = None
         found: dict = {}
         later: list = []
@@ -376,7 +391,9 @@ def _contexts(length: int, parts: int):
             is_flag = batch["kind"] == 0
             for a in batch.loc[is_flag, "a"]:
                 flags.append(_unpack(a, "<i8", "<u8"))
-            own = batch[~is_flag]
+            for a in batch.loc[batch["kind"] == HOT_KEYS, "a"]:
+                hot = np.union1d(hot, _unpack(a, "<u8")[0])
+            own = batch[batch["kind"] == TEXT]
             if not len(own) or not flags:
                 continue
             if ids is None:
@@ -390,10 +407,16 @@ def _contexts(length: int, parts: int):
                 key = _anchor_key(h, parts)
                 hit = np.flatnonzero(np.isin(key, keys[low[i] : high[i]]))
                 text, doc = texts[i], int(doc_ids[i])
-                for p, s, e, part in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), (key[hit] >> np.uint64(32)).tolist(), strict=True):
-                    context = text[s : e + length]
-                    size += len(context)
-                    _fold(found, later, context, part, doc, s, p - s)
+                parts_of = (key[hit] >> np.uint64(32)).tolist()
+                for p, s, e, part, is_hot in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), parts_of, np.isin(key[hit], hot).tolist(), strict=True):
+                    for w in range(s, e + 1) if is_hot else ():
+                        window = text[w : w + length]
+                        size += length
+                        _fold(found, later, window, zlib.crc32(window) % parts, doc, w, p - w)
+                    if not is_hot:
+                        context = text[s : e + length]
+                        size += len(context)
+                        _fold(found, later, context, part, doc, s, p - s)
                 if size >= FOLD_BYTES:
                     yield _frame(_settle(found, later, length, parts))
                     found, later, size = {}, [], 0
@@ -466,7 +489,8 @@ def _sort_parts(length: int, parts: int, k: int = ANCHOR):
         block: list[bytes] = []
         size = 0
         for own in groups.values():
-            if len(own) > 1:
+            # Different contexts of one window each have no window in common.
+            if len(own) > 1 and max(map(len, own)) > length:
                 block += own
                 size += sum(map(len, own))
                 if size >= ARRAY_BYTES:
@@ -541,28 +565,34 @@ def _cut_out(length: int):
 
 
 def _with_texts(routed: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Rows of shards, then the shard's texts, in one partition each."""
-    a = routed.select("part", "kind", "a", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    b = texts.select("part", F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc_id", "text")
+    """Rows of shards, then the shard's texts, in one partition each. No doc_id is null, or pandas would make all of them floats."""
+    a = routed.select("part", "kind", "a", F.lit(0).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    b = texts.select("part", F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc_id", "text")
     return a.unionByName(b).repartition(parts, "part").sortWithinPartitions("kind")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, keep_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, keep_bytes: bool = False, part_bytes: int = PART_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal runs) and kept_sha256 (and with keep_bytes kept, the bytes left) of every row.
 
     Removed is each byte of the UTF-8 text that a string of ``length`` bytes covers which also starts in a document
     with a smaller doc_id, judged on the whole input. Null texts are empty; texts shorter than ``length`` stay whole.
-    Rows that repeat a doc_id are one document for this and don't cover each other; each needs an id (null ids are an
-    error). An empty table gives an empty result; other columns are ignored.
+    Rows that repeat a doc_id are one document for this and don't cover each other; a null id is smaller than none, so
+    such rows stay whole and cover no others. An empty table gives an empty result; other columns are ignored.
     """
-    parts = partitions(docs.sparkSession)
-    ids = F.coalesce(F.col(doc_id).cast("long"), F.raise_error(F.lit("doc_id is null")).cast("long"))
-    rows = docs.select(ids.alias("doc_id"), text_or_empty(text).alias("text"))
+    if not ANCHOR <= length <= MOST_LENGTH:
+        raise ValueError(f"length must be from {ANCHOR} to {MOST_LENGTH}")
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = every.where("doc_id IS NOT NULL")
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(partitions(docs.sparkSession), -(-n_bytes // part_bytes))
     own = rows.withColumn("part", _shard(F.col("doc_id"), parts))
     counted = rows.mapInPandas(_count_anchors(length, parts), ROUTED)
-    flags = counted.repartition(parts, "part").mapInPandas(_find_shared(parts), ROUTED)
+    flags = counted.repartition(parts, "part").mapInPandas(_find_shared(parts, hot_docs), ROUTED)
     contexts = _with_texts(flags, own, parts).mapInPandas(_contexts(length, parts), ROUTED)
     covers = contexts.repartition(parts, "part").mapInPandas(_sort_parts(length, parts), ROUTED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     out = _with_texts(covers, own, parts).mapInPandas(_cut_out(length), schema)
+    data, none = F.encode("text", "UTF-8"), F.lit(0).cast("long")
+    whole = every.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), data.alias("kept"), F.sha2(data, 256).alias("kept_sha256"))
+    out = out.unionByName(whole)
     return out if keep_bytes else out.drop("kept")
