@@ -369,6 +369,64 @@ def test_html_main_element_before_its_class():
     assert html_extract.parse("<article><p>x<article class='comment'><p>y</article></article>")[0] == ["x"]
 
 
+def test_html_parse_faults():
+    read = lambda page: html_extract.parse(page)[0]
+    assert read("<div class='page has-sidebar'><article><p>x</article></div>") == ["x"]
+    assert read("<div class='sidebar-page'><article><p>x</p></article></div><p>y") == ["x"]
+    assert read("<div class='comments'><article>z</article></div>") == ["z"] and read("<article>x</article><div class='comments'><article>z</article></div>") == ["x"]
+    assert read("<nav><article>menu</article></nav><article>x</article>") == ["x"]
+    assert read("<div role='main'><p>x</div><p>after") == ["x"]
+    assert read("<article><p class='notice'>n<p>x<ul><li class='related'>r<li>y</ul></article>") == ["x", "y"]
+    assert read("<article><p class='ad'>a<div>x</div></article>") == ["x"]
+    assert read("<article>a &am<b></b>p; <math><mi>b</mi></math> &lt;i&gt;</article>") == ["a &amp; b <i>"]
+    assert read("<article><p>a <span class='ad'>b</span> c</p><b><p>d</b> e</p></article>") == ["a", "c", "d e"]
+    assert read("<article><table><tr><td>a<td class='ad'>b<tr><td>c</table>d</article>") == ["a", "c", "d"]
+
+
+def brute_main_texts(pages):
+    """All windows of all pages of a host, by loops."""
+    w, out = html_extract.WINDOW, {}
+    for host in {h for _, h, _ in pages}:
+        own = []
+        for i, h, page in pages:
+            if h == host:
+                main, other, has_main = html_extract.parse(page)
+                keep = [not has_main and not m and s <= html_extract.LINK_SHARE for _, s, m in other]
+                own.append((i, main if has_main else [t[0] for t, k in zip(other, keep, strict=True) if k], [t[0] for t, k in zip(other, keep, strict=True) if not k], has_main))
+        distinct = {(tuple(kept), tuple(rest)) for _, kept, rest, _ in own}
+        held: dict = {}
+        for kept, rest in distinct:
+            grams = {tuple(t[j : j + w]) for t in [" ".join(kept).split(" "), *(b.split(" ") for b in rest)] for j in range(len(t) - w + 1)}
+            for g in grams | {("whole", *b.split(" ")) for b in (*kept, *rest) if len(b.split(" ")) < w}:
+                held[g] = held.get(g, 0) + 1
+        bad = lambda g, article: held.get(g, 0) >= (3 if article else 2) and 100 * held.get(g, 0) >= (50 if article else 30) * len(distinct)  # noqa: B023,E731
+        for i, kept, _, has_main in own:
+            stream = [(b, t) for b, text in enumerate(kept) for t in text.split(" ")]
+            gone = set()
+            for j in range(len(stream) - w + 1):
+                if bad(tuple(t for _, t in stream[j : j + w]), has_main):
+                    gone |= set(range(j, j + w))
+            blocks = [" ".join(t for j, (n, t) in enumerate(stream) if n == b and j not in gone) for b in range(len(kept))]
+            out[i] = "\n\n".join(t for b, t in enumerate(blocks) if t and (has_main or len(kept[b].split(" ")) >= w or not bad(("whole", *kept[b].split(" ")), False)))
+    return out
+
+
+def test_html_equals_loops_over_whole_hosts(spark):
+    rng = np.random.default_rng(9)
+    passages = [" ".join(f"p{k}w{j}" for j in range(int(rng.integers(3, 25)))) for k in range(8)]
+    pages = []
+    for i in range(260):
+        n_host = int(rng.integers(0, 3)) if i < 200 else 3
+        blocks = [passages[int(rng.integers(0, 8))] if rng.random() < 0.5 else " ".join(f"u{i}x{j}" for j in range(int(rng.integers(1, 15)))) for _ in range(int(rng.integers(1, 6)))]
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        nav = f"<nav>{passages[int(rng.integers(0, 8))]}</nav>"
+        page = nav + (f"<article>{body}</article>" if rng.random() < 0.5 else body)
+        pages.append((i, f"h{n_host}", "<p>one mirrored page of eleven words or so that is everywhere</p>" if n_host == 2 and i % 2 else page))
+    rows = spark.createDataFrame([(i, f"http://{h}/{i}", page) for i, h, page in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(rows.repartition(5)).collect()}
+    assert got == brute_main_texts(pages)
+
+
 def test_html_article_notices(spark):
     notice = "<p>Read our terms</p><p>and give your consent to all of them today</p>"
     pages = [(i, f"http://h/{i}", f"<article>{notice}<p>" + " ".join(f"w{i}x{j}" for j in range(20)) + "</p><p>Short head</p></article>") for i in range(200)]
