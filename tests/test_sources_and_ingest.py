@@ -41,10 +41,22 @@ def test_hymns(spark):
     rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "path string, line_no int, text string")
     got = [r["text"] for r in lines.hymn_verses(rows).orderBy("pos").collect()]
     assert got == [
-        "Rig Veda 1.1.1 (Agni): I laud Agni, the chosen priest of all, God, minister.",
+        "Rig Veda 1.1.1 (Agni): I laud Agni, the chosen priest of all, God, minister. see Note here",
         "Rig Veda 1.7.3 (Indra): As a good cow to him who milks, we call",
         "Rig Veda 1.7.5 (Indra): more than twenty chars",
     ]
+    text = ["1. A verse before any hymn is left out", "HYMN II.", "1. A verse  in the   first book of all", "Page 9", "sees a Page and goes on", "abc", "[x]", "2. Note that this verse starts with a word of asides", "BOOK X", "BOOK 0", "HYMN 3. T", "4. A verse that stays in the first book"]
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "path string, line_no int, text string")
+    got = [r["text"] for r in lines.hymn_verses(rows).orderBy("pos").collect()]
+    assert got == [
+        "Rig Veda 1.2.1: A verse in the first book of all sees a Page and goes on",
+        "Rig Veda 1.2.2: Note that this verse starts with a word of asides",
+        "Rig Veda 1.2.4: A verse that stays in the first book",  # the heading's pattern reads no digits
+    ]
+
+
+def test_missing_path_has_no_files(spark, tmp_path):
+    assert jsonfiles.read_whole(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_progress(spark):

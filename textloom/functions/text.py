@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: The characters that Python's str.split and str.strip take as white space.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: First and last code point of each script's block.
 SCRIPTS = {
     "si": (r"\u0D80", r"\u0DFF"),
@@ -27,7 +29,7 @@ ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def words(c: Column | str) -> Column:

@@ -45,16 +45,27 @@ def funnel(df: DataFrame, order: str, text: str = "text", **tests) -> DataFrame:
     Only a digest of the text is dealt out to find duplicates, and of each digest only the smallest order is kept
     before the shuffle, so a text that many rows share stays cheap.
     """
-    rows = df.withColumn("_text", strip(F.coalesce(text, F.lit(""))))
-    rows = rows.withColumn("_reason", first_reason(F.col("_text"), **tests)).withColumn("_key", F.when(F.col("_reason").isNull(), F.sha2("_text", 256)))
+    rows = _tested(df, text, tests)
     firsts = rows.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias(order)).select(order, F.lit(True).alias("_first"))
     out = rows.join(firsts, order, "left")
     reason = F.coalesce("_reason", F.when(F.col("_first"), "passed").otherwise("duplicate"))
     return out.select(*df.columns, reason.alias("reason"))
 
 
-def funnel_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("reason").agg(F.count("*").alias("n"))
+def _tested(df: DataFrame, text: str, tests: dict) -> DataFrame:
+    """df with _reason (null if all tests are passed) and then _key, a digest of the stripped text."""
+    # An explode of one value: Spark does not put the expression in place of the column wherever that is used.
+    rows = df.withColumn("_text", F.explode_outer(F.array(strip(F.coalesce(text, F.lit(""))))))
+    rows = rows.withColumn("_reason", F.explode_outer(F.array(first_reason(F.col("_text"), **tests))))
+    return rows.withColumn("_key", F.when(F.col("_reason").isNull(), F.sha2("_text", 256))).drop("_text")
+
+
+def funnel_counts(df: DataFrame, text: str = "text", **tests) -> DataFrame:
+    """reason and n of the funnel, from one scan: of each digest one row passes and the others are duplicates."""
+    keys = _tested(df.select(text), text, tests).groupBy("_reason", "_key").agg(F.count("*").alias("n"))
+    rest = F.when(F.col("_reason").isNull(), F.col("n") - 1).otherwise(F.lit(0))
+    parts = F.array(F.struct(F.coalesce("_reason", F.lit("passed")).alias("reason"), (F.col("n") - rest).alias("n")), F.struct(F.lit("duplicate").alias("reason"), rest.alias("n")))
+    return keys.select(F.explode(parts).alias("x")).select("x.*").where("n > 0").groupBy("reason").agg(F.sum("n").alias("n"))
 
 
 def distinct_first(df: DataFrame, key: Column, order: str, *within: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import contains_any, strip
+from textloom.functions.text import contains_any, script_class, strip
+from textloom.operators.clean import LOADER_SCRIPTS, is_foreign
 
 Rules = list[tuple]
 
@@ -67,8 +68,19 @@ def best_version(rows: DataFrame, key: str, order: str, preferred: Column) -> Da
     return rows.groupBy(key).agg(F.max_by(F.struct(*others), rank).alias("_x")).select(key, "_x.*")
 
 
+def is_english_row(language: Column, text: Column) -> Column:
+    """Whether a translation counts as English: by its language, if it names one, and by its script; blank texts don't."""
+    low = F.lower(F.coalesce(language, F.lit("")))
+    named = (low == "") | low.contains("english") | low.isin("en", "1")
+    return named & (strip(F.coalesce(text, F.lit(""))) != "") & ~is_foreign(F.coalesce(text, F.lit("")), script_class(LOADER_SCRIPTS))
+
+
+def in_verse_order(rows: DataFrame, chapter: str = "chapter", verse: str = "verse") -> DataFrame:
+    return rows.orderBy(F.col(chapter).cast("int"), F.col(verse).cast("int"))
+
+
 def verse_join(translations: DataFrame, verses: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Inner join on ids compared as stripped strings."""
+    """Inner join on ids compared as stripped strings; in_verse_order puts the result in order."""
     a = translations.withColumn("_id", strip(F.col(left_id).cast("string")))
     b = verses.withColumn("_id", strip(F.col(right_id).cast("string")))
     return a.join(b, "_id").drop("_id")

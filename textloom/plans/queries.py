@@ -11,7 +11,8 @@ from textloom import config
 from textloom.functions import text as T
 from textloom.operators import answer, chunk, clean, enrich, ingest, policy, scrub, search, vector
 from textloom.plans import build
-from textloom.sources import html
+from textloom.sources import html, lines
+from textloom.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,13 +82,13 @@ def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _SCORES
-    + """, p AS (SELECT * FROM r WHERE rank <= 60 AND score >= 0.2),
+    + """, p AS (SELECT * FROM r WHERE rank <= 300 AND score >= 0.2),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, substr('label ' || label, 1, 200) ORDER BY id) AS n FROM p) WHERE n = 1),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS m FROM d) WHERE m <= 5)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM k"""
 )
 def vector_native_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir, 60).withColumn("text", F.concat(F.lit("label "), "label"))
+    hits = _hits(spark, sf_dir, 5 * config.domain("Christianity").native_fetch_factor).withColumn("text", F.concat(F.lit("label "), "label"))
     return search.native_order(hits, F.lit(True), 0.2, 5).select("query_id", "id", "rank", "score")
 
 
@@ -102,7 +103,15 @@ def unique_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.unique_sources(_hits(spark, sf_dir, 20).withColumn("book", F.concat(F.lit("book "), "label")))
 
 
-@query()
+@query(
+    _SCORES
+    + """, h AS (SELECT query_id, id, rank, label % 2 AS p, -score AS s, label, id % 7 AS t FROM r WHERE rank <= 20),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, s, id) AS n FROM h),
+l AS (SELECT query_id, list({id: id, book: label, prefix: t} ORDER BY n) AS rows FROM o GROUP BY query_id)
+SELECT query_id, list_transform(list_reduce(rows, lambda taken, x: CASE
+  WHEN len(list_filter(taken, lambda y: y.prefix = x[1].prefix)) = 0 AND len(list_filter(taken, lambda y: y.book = x[1].book)) < 2 AND len(taken) < 6
+  THEN list_concat(taken, x) ELSE taken END, []), lambda y: y.id) AS ids FROM (SELECT query_id, list_transform(rows, lambda z: [z]) AS rows FROM l)"""
+)
 def refine_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir, 20).withColumns({"book": F.concat(F.lit("book "), "label"), "text": F.concat(F.lit("text "), F.col("id") % 7), "priority": F.col("label") % 2})
     return search.refine(hits)
@@ -164,7 +173,7 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FUNNEL + "SELECT reason, count(*) AS n FROM g GROUP BY reason")
 def quality_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.funnel_counts(_funnel(spark, sf_dir))
+    return clean.funnel_counts(_t(spark, sf_dir, "documents"), fragments=["!!"], char_class="[À-ÿ]")
 
 
 @query(_FUNNEL + "SELECT doc_id FROM g WHERE reason = 'passed'")
@@ -274,10 +283,11 @@ def pending_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pending(_t(spark, sf_dir, "documents").select("doc_id"), _t(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT source, doc_id FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT source, -doc_id FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0")
+@query("SELECT source, doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'fr') UNION ALL SELECT source, -doc_id FROM documents WHERE lang = 'fr'")
 def section_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("source", "doc_id")
-    new = docs.where("source IN ('src1', 'src2') AND doc_id % 3 = 0").select("source", (-F.col("doc_id")).alias("doc_id"))
+    docs = _t(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    new = docs.where("lang = 'fr'").select("source", (-F.col("doc_id")).alias("doc_id"))
+    docs = docs.select("source", "doc_id")
     return ingest.upsert_section(docs, new, "source")
 
 
@@ -299,10 +309,47 @@ def repair_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.repair(rows.select("key", "n"), (F.col("key").cast("long") % 97).cast("string"), rows.select("key", "expected"))
 
 
-@query("SELECT event_id, substr(coalesce(props, ''), 1, 20) AS comment, nullif(CASE WHEN event_type = 'click' THEN '' ELSE event_type END, '') AS rating FROM events")
+@query("SELECT conv_id, turn, substr(coalesce(asked, ''), 1, 2000) AS question, substr(text, 1, 2000) AS answer, substr(text || ' ' || text, 1, 2000) AS comment, nullif(role, 'system') AS rating FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations)")
 def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "events").select("event_id", F.lit("").alias("question"), F.lit("").alias("answer"), F.col("props").alias("comment"), F.when(F.col("event_type") == "click", "").otherwise(F.col("event_type")).alias("rating"))
-    return ingest.feedback_rows(rows, 20).select("event_id", "comment", "rating")
+    asked = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rating = F.when(F.col("role") == "system", "").otherwise(F.col("role"))
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", asked.alias("question"), F.col("text").alias("answer"), F.concat("text", F.lit(" "), "text").alias("comment"), rating.alias("rating"))
+    return ingest.feedback_rows(rows)
+
+
+_FOREIGN_SCRIPTS = r"[\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0AFF}\x{0B00}-\x{0BFF}\x{0C00}-\x{0D7F}]"
+
+
+@query(f"SELECT doc_id FROM documents WHERE lang IS NULL OR contains(lower(lang), 'english') OR lower(lang) IN ('', 'en', '1') EXCEPT SELECT doc_id FROM documents WHERE {_STRIP} = '' OR (length(text) - length(regexp_replace(text, '{_FOREIGN_SCRIPTS}', '', 'g'))) / length(text) >= 0.05")
+def english_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").where(enrich.is_english_row(F.col("lang"), F.col("text"))).select("doc_id")
+
+
+_KINDS = ["Sutta Pitaka", "sutta pitaka", "Vinaya Pitaka", "Gospels", "New Testament", "Old Testament", "Bhagavad Gita", "Gita", "Principal Upanishads", "Maha Puranas", "Smriti", "Veda", ""]
+
+
+@query(
+    f"""WITH k AS (SELECT p_partkey, [{", ".join(f"'{k}'" for k in _KINDS)}][p_size % {len(_KINDS)} + 1] AS kind FROM part)
+SELECT p_partkey, CASE WHEN lower(kind) = 'sutta pitaka' THEN 0 ELSE 1 END AS buddhism, CASE WHEN contains(lower(kind), 'gospel') THEN 0 WHEN kind = 'New Testament' THEN 1 ELSE 2 END AS christianity,
+CASE WHEN contains(lower(kind), 'gita') OR contains(lower(kind), 'bhagavad') THEN 0 WHEN contains(lower(kind), 'upanishad') THEN 1 WHEN contains(lower(kind), 'purana') THEN 2 WHEN contains(lower(kind), 'smriti') THEN 3 ELSE 4 END AS hinduism FROM k"""
+)
+def priority_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), F.col("p_size") % len(_KINDS))
+    return _t(spark, sf_dir, "part").select("p_partkey", *[search.priority(d, kind).alias(d.lower()) for d in config.DOMAINS])
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
+v AS (SELECT conv_id, turn, floor(turn / 3) AS hymn, array_to_string(w[1:12], ' ') AS words FROM l WHERE turn % 3 <> 0)
+SELECT CAST(conv_id AS VARCHAR) AS path, 'Rig Veda 1.' || CAST(hymn + 1 AS BIGINT) || '.' || turn || ' (Title): ' || words AS text FROM v WHERE hymn < 3 AND length(words) > 20"""
+)
+def hymns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numerals, words = F.array(*[F.lit(x) for x in ("I", "II", "III")]), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 12), "  ")
+    head = F.concat(F.lit("HYMN "), F.get(numerals, F.floor(F.col("turn") / 3).cast("int")), F.lit(". Title."))
+    line = F.when(F.col("turn") % 3 == 0, head).otherwise(F.concat("turn", F.lit(". "), words))
+    rows = _t(spark, sf_dir, "conversations").where("turn < 9").select(F.col("conv_id").cast("string").alias("path"), "turn", line.alias("text"))
+    noise = rows.select("path", (F.col("turn") + 0.5).alias("turn"), F.lit("[note]").alias("text"))
+    return lines.hymn_verses(rows.unionByName(noise), order="turn").select("path", "text")
 
 
 # ---- policy --------------------------------------------------------------------------------------------------------
@@ -337,14 +384,19 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", policy.effective_language(F.col("text"), F.col("lang")).alias("language"))
 
 
-_HELLO = "case when turn % 3 = 0 then 'Hello good evening!' when turn % 3 = 1 then 'hi ' || text else text end"
+_HELLO = "case when turn % 7 = 0 then 'Hello good evening!' when turn % 7 = 1 then 'hi ' || text when turn % 7 = 2 then 'What is karma?' when turn % 7 = 3 then 'What does the Gita really teach?' when turn % 7 = 4 then 'Name the suttas' when turn % 7 = 5 then 'Tell me about the Ramayana?' else text end"
+_BOOKS = "(books?|texts?|suttas?|passages?)"
+_WORKS = "(bhagavad ?gita|gita|vedas?|upanishads?|mahabharata|ramayana|puranas?|manusmriti)"
+#: From the survey: explicit requests for lists; questions about a whole scripture.
+_LISTS = [r"\b(list|enumerate)\b", rf"\bwhich {_BOOKS}\b", rf"\b(name|show) (the |all )?{_BOOKS}\b", rf"\ball (the )?{_BOOKS}\b", r"\bbooks? (about|on|that|related)\b"]
+_WHOLE = [rf"\bwhat do(es)? (the )?{_WORKS}\b.{{0,30}}(say|teach|tell us|contain|cover|talk about)\b", r"\b(tell me about|explain) (the )?(bhagavad ?gita|mahabharata|ramayana)\b ?\??$", r"\bwhat is (the )?bhagavad ?gita\b ?\??$", r"\b(overview of|introduce) (the )?(bhagavad ?gita|vedas?|hinduism|upanishads?)\b"]
 
 
 @query(f"""SELECT conv_id, turn, regexp_matches(s, '{policy.GREETING}') OR regexp_matches(regexp_replace(s, '{policy.LEADING}', ''), '{policy.GREETING}') AS greets,
-{_matches_sql("text", policy.LIST_INTENT)} AS lists, {_matches_sql("s", policy.BROAD)} AS broad FROM (SELECT *, lower(regexp_replace({_HELLO}, '^{_WS}+|{_WS}+$', '', 'g')) AS s FROM conversations)""")
+{_matches_sql("s", _LISTS)} AS lists, {_matches_sql("s", _WHOLE)} AS broad FROM (SELECT *, lower(regexp_replace({_HELLO}, '^{_WS}+|{_WS}+$', '', 'g')) AS s FROM conversations)""")
 def question_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.expr(_HELLO)
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.is_greeting(said).alias("greets"), policy.is_list_intent(F.col("text")).alias("lists"), policy.is_broad(said).alias("broad"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.is_greeting(said).alias("greets"), policy.is_list_intent(said).alias("lists"), policy.is_broad(said).alias("broad"))
 
 
 @query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN [{_in(v)}]" for k, v in ENUM_SETS.items()) + " END AS items FROM conversations")
@@ -357,12 +409,16 @@ def fabricated_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.unsupported_references(F.col("text"), F.lit("the 1 that 2"), REF).alias("wrong"))
 
 
-@query(f"""WITH s AS (SELECT conv_id, turn, text, list_filter(string_split(lower(text), '.'), lambda x: trim(x) <> '') AS p FROM conversations)
-SELECT conv_id, turn, length(text) < 40 OR len(list_filter(p, lambda x: contains(x, 'that') OR contains(x, 'este'))) >= 0.5 * greatest(len(p), 1) AS weak,
-{" + ".join(f"CAST(contains(lower(text), '{x}') AS INT)" for x in SIGNALS)} >= 2 AS mismatch FROM s""")
+_ANSWERS = "case when turn % 5 = 1 then '....' || repeat('…', 40) when turn % 5 = 2 then null when turn % 5 = 3 then '      short text between blanks           ' else text end"
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, {_ANSWERS} AS text FROM conversations), s AS (SELECT *, list_filter(string_split(text, '.'), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '') AS p FROM a)
+SELECT conv_id, turn, coalesce(text IS NULL OR length({_STRIP}) < 40 OR len(p) = 0 OR len(list_filter(p, lambda x: contains(x, 'that') OR contains(x, 'este'))) >= 0.5 * len(p), true) AS weak,
+coalesce((contains(lower(text), 'that') OR contains(lower(text), 'que')) AND {" + ".join(f"CAST(contains(lower(text), '{x}') AS INT)" for x in SIGNALS)} >= 2, false) AS mismatch FROM s""")
 def weak_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ANSWERS).alias("text"))
     text = F.col("text")
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.is_weak(text, ["that", "este"]).alias("weak"), policy.is_mismatch(text, SIGNALS).alias("mismatch"))
+    return rows.select("conv_id", "turn", policy.is_weak(text, ["that", "este"]).alias("weak"), policy.is_mismatch(text, text, {"that": SIGNALS, "que": SIGNALS}).alias("mismatch"))
 
 
 @query()
@@ -374,20 +430,25 @@ def moderate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- scrubs --------------------------------------------------------------------------------------------------------
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace('[Source: ' || source || ']' || text, '{scrub.SOURCE_TAG}', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS scrubbed FROM documents")
+def _spaced_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_spaced_sql("regexp_replace(text || ' [Source: ' || source || '] ' || '[மூலம்: x]  end', '[[](Source|மூலம்)[^]]*[]]', '', 'g')")} AS scrubbed FROM documents")
 def scrub_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_tags(F.concat(F.lit("[Source: "), "source", F.lit("]"), "text")).alias("scrubbed"))
+    return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_tags(F.concat("text", F.lit(" [Source: "), "source", F.lit("] [மூலம்: x]  end"))).alias("scrubbed"))
 
 
 def _notation_sql(c: str) -> str:
-    for p in scrub.NOTATION:
+    for p in ("[(]v[.]l[.]?[^)]*[)]", "[[][A-Za-z]{2,20}[]]", "(?i)[(](cf|see|compare)[.]?[^)]{0,60}[)]", "(?i)[[](skt|pali|sans|skr)[.]?[^]]{0,40}[]]"):
         c = f"regexp_replace({c}, '{p}', '', 'g')"
-    return f"regexp_replace({c}, '  +', ' ', 'g')"
+    return _spaced_sql(c)
 
 
-@query(f"SELECT doc_id, {_notation_sql("'[1] ' || text || ' {2}'")} AS scrubbed FROM documents")
+@query(f"SELECT doc_id, {_notation_sql("'(v.l. abhayam [abhaya]) [dharma] ' || text || ' (cf. BG 2.47) [Skt. moksha] [1] (See ' || source || ')'")} AS scrubbed FROM documents")
 def scrub_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_notation(F.concat(F.lit("[1] "), "text", F.lit(" {2}"))).alias("scrubbed"))
+    noted = F.concat(F.lit("(v.l. abhayam [abhaya]) [dharma] "), "text", F.lit(" (cf. BG 2.47) [Skt. moksha] [1] (See "), "source", F.lit(")"))
+    return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_notation(noted).alias("scrubbed"))
 
 
 @query("SELECT doc_id, replace(replace(text, 'the ', 'The '), 'The of', 'Of the') AS replaced FROM documents")
@@ -395,9 +456,9 @@ def replace_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.replace_titles(F.col("text"), [("the ", "The "), ("The of", "Of the")]).alias("replaced"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || substr(text, 1, 50) || '<think>c', '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '', 'g'), '^" + _WS + "+|" + _WS + "+$', '', 'g') AS scrubbed FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('<think>a' || chr(10) || 'b</think>' || text || '<think>c', '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '', 'g'), '^" + _WS + "+|" + _WS + "+$', '', 'g') AS scrubbed FROM documents")
 def strip_thinking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("<think>a\nb</think>"), F.substring("text", 1, 50), F.lit("<think>c"))
+    text = F.concat(F.lit("<think>a\nb</think>"), "text", F.lit("<think>c"))
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.strip_thinking(text).alias("scrubbed"))
 
 
@@ -411,17 +472,18 @@ def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.trim_sentence(F.concat("text", F.lit(" and so"))).alias("trimmed"))
 
 
-@query()
+@query(f"SELECT conv_id, turn, coalesce(nullif(regexp_replace(CASE turn % 3 WHEN 0 THEN 'The question \"Who, x?\" was asked.' || chr(10) || text WHEN 1 THEN 'Question: \"why\".' ELSE text END, '^(The question \"Who, x[?]\"{_WS}*|Question: \"why\"[.]{_WS}*)', ''), ''), 'Question: \"why\".') AS scrubbed FROM (SELECT conv_id, turn, {_STRIP} AS text FROM conversations)")
 def question_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", scrub.scrub_echo(F.concat(F.lit("Question: x\n"), "text")).alias("scrubbed"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('The question "Who, x?" was asked.\n'), "text")).when(F.col("turn") % 3 == 1, 'Question: "why".').otherwise(F.col("text"))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text")).select("conv_id", "turn", scrub.scrub_echo(said).alias("scrubbed"))
 
 
-@query()
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT contains(lower(s), 'tion')), ' ') AS scrubbed FROM documents")
 def tangent_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.drop_tangents(F.col("text"), F.lit("the that"), ["tion", "that"]).alias("scrubbed"))
 
 
-@query()
+@query("SELECT doc_id, regexp_replace(text || CASE WHEN contains('src1', source) THEN ' (see ' || source || ')' ELSE ' ' END, '  +', ' ', 'g') AS scrubbed FROM documents")
 def citation_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_citations(F.concat("text", F.lit(" (see "), "source", F.lit(")")), F.lit("src1")).alias("scrubbed"))
 
@@ -448,7 +510,9 @@ def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("book"), F.lit("part").alias("pitaka"), F.lit("").alias("source"), F.lit("Buddhism").alias("religion"), F.col("lang").alias("language"))
     windows = chunk.word_windows(docs, 800, 150, 60).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("chunk_no"))
     windows = windows.withColumnRenamed("chunk", "text").drop("doc_id", "chunk_no")
-    return windows.select("id", vector.encode_column(F.col("text"), vector.hash_encoder).alias("vector")), windows
+    path = scratch(spark, "index")
+    search.save_index(windows, path, vector.encode_column(F.col("text"), vector.hash_encoder))
+    return search.open_index(spark, path)
 
 
 @query()

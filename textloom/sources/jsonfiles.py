@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,8 +14,13 @@ from textloom.functions.text import strip
 
 
 def read_whole(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
-    """path and text of each file below path; missing paths are an error, unreadable bytes become U+FFFD."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    """path and text of each file below path, none where there is no such path; unreadable bytes become U+FFFD."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, text string")
     return found.select("path", decode_text(F.col("content")).alias("text"))
 
 
