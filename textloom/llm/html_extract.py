@@ -244,8 +244,8 @@ def _pages(unit: dict) -> list[tuple[list[str], list[str]]]:
     return out
 
 
-def _compress(lines: list[str]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress("\n".join(lines).encode("utf-8", "surrogatepass"))
+def _compress(lines: list[str], level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress("\n".join(lines).encode("utf-8", "surrogatepass"))
 
 
 def _streams():
@@ -319,7 +319,7 @@ def _unit(table):
         "leads": [leads],
         "n_kept": [[len(kept) for kept, _ in pages]],
         "n_rest": [[len(rest) for _, rest in pages]],
-        "blocks": [_compress(lines) if lines else None],
+        "blocks": [_compress(lines, 7) if lines else None],
         "n_pages": [len(own)],
         "candidates": [_repeated_in_unit(own, least).tolist() if own else []],
     }
@@ -395,10 +395,11 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
         F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"),
         F.coalesce(F.col(html), F.lit("")).alias("html"),
     )
-    streams = cut(map_texts(rows, _streams, "n_kept array<int>, n_rest array<int>, blocks binary, has_main boolean, key long", text="html"), "html-streams")
-    hosted = streams.where("host IS NOT NULL")
-    sizes = cut(hosted.groupBy("host").agg(F.count("*").alias("n")), "html-hosts")
+    fields = "n_kept array<int>, n_rest array<int>, blocks binary, has_main boolean, key long"
+    hosted, lone = (map_texts(rows.where(f"host IS {kind}NULL"), _streams, fields, text="html") for kind in ("NOT ", ""))
+    sizes = cut(rows.where("host IS NOT NULL").groupBy("host").agg(F.count("*").alias("n")), "html-hosts")
     # Copies of one page, if these are many, are dealt over the host's units, as only the first counts: below HOT_SHARE keys.
+    # Pages are read once for this and once for units, which takes less than to write all blocks in between.
     n_rows = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     copied = hosted.groupBy("host", "key").agg(F.count("*").alias("n_copies"), F.min("page_id").alias("first")).where((F.col("n_copies") > UNIT) & (F.col("n_copies") * HOT_SHARE > n_rows))
     sized = attach_groups(hosted, sizes, "host", F.xxhash64("page_id", "url"), "n").join(F.broadcast(copied.select("host", "key", "n_copies", "first")), ["host", "key"], "left")
@@ -421,5 +422,5 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     lists = cut(lists.join(sizes, "host"), "html-repeated")
     marked = attach_groups(units.select("host", "page_ids", "urls", "has_main", "n_kept", "n_rest", "blocks"), lists, "host", spread, "n").drop("n")
     none = F.lit(None).cast("array<long>")
-    lone = streams.where("host IS NULL").select("host", F.array("page_id").alias("page_ids"), F.array("url").alias("urls"), F.array("has_main").alias("has_main"), "n_kept", "n_rest", "blocks", none.alias("in_articles"), none.alias("elsewhere"))
+    lone = lone.select("host", F.array("page_id").alias("page_ids"), F.array("url").alias("urls"), F.array("has_main").alias("has_main"), "n_kept", "n_rest", "blocks", none.alias("in_articles"), none.alias("elsewhere"))
     return marked.unionByName(lone).mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
