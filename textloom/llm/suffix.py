@@ -36,6 +36,8 @@ PART_BYTES = 12 << 20
 #: An anchor is hot if it is in more documents than this, and in more than a HOT_SHARE-th of what its part counts: so a
 #: part has fewer than HOT_SHARE hot anchors.
 HOT_DOCS, HOT_SHARE = 20_000, 8
+#: Parts up to so many are dealt to a partition each.
+MOST_EVEN = 20_000
 #: Strings longer than this are refused, as places in contexts are stored in 16 bits.
 MOST_LENGTH = 30_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -564,11 +566,25 @@ def _cut_out(length: int):
     return run
 
 
+def _deal(rows: DataFrame, parts: int) -> DataFrame:
+    """rows with each part in a partition of its own.
+
+    Spark deals rows by a hash, which would put some parts together and leave other partitions empty. So it is given, for
+    each part, a number whose hash is that of one partition. Above MOST_EVEN parts it is left to the hash.
+    """
+    if parts > MOST_EVEN:
+        return rows.repartition(parts, "part")
+    tried = rows.sparkSession.range(0, parts * 40 + 1000, 1, 8).select(F.col("id").cast("int").alias("key"))
+    found = dict(tried.groupBy(F.pmod(F.hash("key"), F.lit(parts)).alias("partition")).agg(F.min("key")).collect())
+    keys = F.array(*[F.lit(found.get(p, p)) for p in range(parts)])
+    return rows.repartition(parts, F.get(keys, F.col("part")))
+
+
 def _with_texts(routed: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
     """Rows of shards, then the shard's texts, in one partition each. No doc_id is null, or pandas would make all of them floats."""
     a = routed.select("part", "kind", "a", F.lit(0).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     b = texts.select("part", F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc_id", "text")
-    return a.unionByName(b).repartition(parts, "part").sortWithinPartitions("kind")
+    return _deal(a.unionByName(b), parts).sortWithinPartitions("kind")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, keep_bytes: bool = False, part_bytes: int = PART_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -587,9 +603,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     parts = max(partitions(docs.sparkSession), -(-n_bytes // part_bytes))
     own = rows.withColumn("part", _shard(F.col("doc_id"), parts))
     counted = rows.mapInPandas(_count_anchors(length, parts), ROUTED)
-    flags = counted.repartition(parts, "part").mapInPandas(_find_shared(parts, hot_docs), ROUTED)
+    flags = _deal(counted, parts).mapInPandas(_find_shared(parts, hot_docs), ROUTED)
     contexts = _with_texts(flags, own, parts).mapInPandas(_contexts(length, parts), ROUTED)
-    covers = contexts.repartition(parts, "part").mapInPandas(_sort_parts(length, parts), ROUTED)
+    covers = _deal(contexts, parts).mapInPandas(_sort_parts(length, parts), ROUTED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
     out = _with_texts(covers, own, parts).mapInPandas(_cut_out(length), schema)
     data, none = F.encode("text", "UTF-8"), F.lit(0).cast("long")
