@@ -33,7 +33,7 @@ MAGIC = b"TLSST001"
 _FOOTER = "<QQQQQQB8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
 #: Distinct words, and parts of words, whose ids a worker keeps; beyond it either cache starts anew.
-WORD_CACHE, PART_CACHE = 300_000, 900_000
+WORD_CACHE, PART_CACHE = 600_000, 900_000
 #: Signs at a word's end that the tokenizer always parts from the letters before.
 _END_SIGNS = ".,!?;:#$%&*|"
 #: How the vocabulary marks a word's last piece. Where it has no such mark, every part is encoded apart.
