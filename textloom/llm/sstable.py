@@ -17,6 +17,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import xxhash
@@ -240,8 +241,9 @@ class WordEncoder:
             self.known.clear()
         if len(self.parts) > PART_CACHE:
             self.parts.clear()
-        split_new = {w: self.split_word(w) for w in set().union(*split) - self.known.keys()}
-        missing = {p for parts in split_new.values() for p in parts} - self.parts.keys()
+        # A test a word: the difference of a set and a dictionary's keys would pass over the whole cache for each batch.
+        split_new = {w: self.split_word(w) for w in filterfalse(self.known.__contains__, set().union(*split))}
+        missing = {p for parts in split_new.values() for p in parts if p not in self.parts}
         letters = [p for p in missing if p.isalpha()]
         others = [p for p in missing if not p.isalpha()]
         for own, encode in ((letters, self._encode_letters), (others, self._encode_parts)):
