@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import partitions, text_or_empty
@@ -31,6 +31,8 @@ from textloom.llm.common import partitions, text_or_empty
 ANCHOR, PIECE_BYTES, ARRAY_BYTES = 24, 1 << 17, 1 << 20
 #: Anchors, and bytes of contexts, that a task folds before it passes them on.
 FOLD_ANCHORS, FOLD_BYTES = 2_000_000, 48 << 20
+#: Bytes of packed texts, about, that a task unpacks at once.
+TEXT_BYTES = 4 << 20
 #: Bytes of text for which there is a part, about; more where executors have memory for it.
 PART_BYTES = 12 << 20
 #: An anchor is hot if it is in more documents than this, and in more than a HOT_SHARE-th of what its part counts: so a
@@ -241,13 +243,55 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _shards(ids: np.ndarray, parts: int) -> np.ndarray:
-    """The part to which a document's own rows go, as _shard has it."""
+    """The part to which a document's own rows go."""
     distinct, place = np.unique(ids, return_inverse=True)
     return np.array([zlib.crc32(str(i).encode()) % parts for i in distinct.tolist()], np.int64)[place]
 
 
-def _shard(doc_id: Column, parts: int) -> Column:
-    return (F.crc32(doc_id.cast("string")) % parts).cast("int")
+def _pack_texts(parts: int):
+    """Texts to rows (shard, TEXT, (ids, sizes), texts): those of a shard are compressed together."""
+
+    def flush(ids: list[int], texts: list[bytes]) -> pd.DataFrame:
+        doc, sizes = np.array(ids, "<i8"), np.array([len(t) for t in texts], "<i8")
+        rows = []
+        for shard, at in _split(_shards(doc, parts)):
+            blob = b"".join([texts[i] for i in at.tolist()])
+            rows.append((shard, TEXT, _pack(doc[at], sizes[at]), zstandard.ZstdCompressor(level=3).compress(blob)))
+        return _frame(rows)
+
+    def run(batches):
+        ids, texts, size = [], [], 0
+        for batch in batches:
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"], strict=True):
+                ids.append(doc)
+                texts.append(text)
+                size += len(text)
+                if size >= FOLD_BYTES:
+                    yield flush(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield flush(ids, texts)
+
+    return run
+
+
+def _texts(packed: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """ids and texts of rows of _pack_texts, some at a time."""
+    ids: list[np.ndarray] = []
+    texts: list[bytes] = []
+    size = 0
+    for a, b in zip(packed["a"], packed["b"], strict=True):
+        doc, sizes = _unpack(a, "<i8", "<i8")
+        blob = zstandard.ZstdDecompressor().decompress(b)
+        ends = np.cumsum(sizes)
+        ids.append(doc)
+        texts += [blob[s:e] for s, e in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+        size += len(blob)
+        if size >= TEXT_BYTES:
+            yield np.concatenate(ids), texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield np.concatenate(ids), texts
 
 
 def _count_anchors(length: int, parts: int):
@@ -381,6 +425,12 @@ def _fold(found: dict, covers: list, context: bytes, part: int, doc: int, start:
 def _contexts(length: int, parts: int):
     """Flags, then texts, of a shard, to contexts by part and covers that are known already."""
 
+    def flagged(packed: pd.DataFrame, ids: np.ndarray) -> Iterator[tuple]:
+        for doc_ids, texts in _texts(packed):
+            texts = [t if x else b"" for t, x in zip(texts, np.isin(doc_ids, ids).tolist(), strict=True)]
+            for i, *found in anchors(texts, length):
+                yield doc_ids, i, texts[i], *found
+
     def run(batches):
         np.seterr(over="ignore")
         flags: list[tuple] = []
@@ -402,13 +452,11 @@ def _contexts(length: int, parts: int):
                 ids, keys = np.concatenate([x[0] for x in flags]), np.concatenate([x[1] for x in flags])
                 order = np.argsort(ids, kind="stable")
                 ids, keys = ids[order], keys[order]
-            doc_ids = own["doc_id"].to_numpy(np.int64)
-            low, high = np.searchsorted(ids, doc_ids), np.searchsorted(ids, doc_ids, "right")
-            texts = [t.encode("utf-8", "surrogatepass") if x < y else b"" for t, x, y in zip(own["text"], low, high, strict=True)]
-            for i, h, place, first, last in anchors(texts, length):
+            for doc_ids, i, text, h, place, first, last in flagged(own, ids):
+                low, high = np.searchsorted(ids, doc_ids[i]), np.searchsorted(ids, doc_ids[i], "right")
                 key = _anchor_key(h, parts)
-                hit = np.flatnonzero(np.isin(key, keys[low[i] : high[i]]))
-                text, doc = texts[i], int(doc_ids[i])
+                hit = np.flatnonzero(np.isin(key, keys[low:high]))
+                doc = int(doc_ids[i])
                 parts_of = (key[hit] >> np.uint64(32)).tolist()
                 for p, s, e, part, is_hot in zip(place[hit].tolist(), first[hit].tolist(), last[hit].tolist(), parts_of, np.isin(key[hit], hot).tolist(), strict=True):
                     for w in range(s, e + 1) if is_hot else ():
@@ -548,20 +596,20 @@ def _cut_out(length: int):
                 ids, first, last = (np.concatenate([x[i] for x in covers]) if covers else np.zeros(0, np.int64) for i in range(3))
                 order = np.argsort(ids, kind="stable")
                 ids, first, last = ids[order], first[order], last[order]
-            doc_ids = own["doc_id"].to_numpy(np.int64)
-            rows = []
-            for doc, text, x, y in zip(doc_ids.tolist(), own["text"], np.searchsorted(ids, doc_ids), np.searchsorted(ids, doc_ids, "right"), strict=True):
-                data, at, kept, removed = text.encode("utf-8", "surrogatepass"), 0, [], 0
-                cuts = spans(first[x:y], last[x:y], length) if x < y else []
-                for s, e in cuts:
-                    kept.append(data[at:s])
-                    removed += e - s
-                    at = e
-                kept.append(data[at:])
-                rows.append((doc, len(data), removed, len(cuts), b"".join(kept)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-            out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
-            yield out
+            for doc_ids, texts in _texts(own):
+                rows = []
+                for doc, data, x, y in zip(doc_ids.tolist(), texts, np.searchsorted(ids, doc_ids), np.searchsorted(ids, doc_ids, "right"), strict=True):
+                    at, kept, removed = 0, [], 0
+                    cuts = spans(first[x:y], last[x:y], length) if x < y else []
+                    for s, e in cuts:
+                        kept.append(data[at:s])
+                        removed += e - s
+                        at = e
+                    kept.append(data[at:])
+                    rows.append((doc, len(data), removed, len(cuts), b"".join(kept)))
+                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in out["kept"]]
+                yield out
 
     return run
 
@@ -581,10 +629,8 @@ def _deal(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _with_texts(routed: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """Rows of shards, then the shard's texts, in one partition each. No doc_id is null, or pandas would make all of them floats."""
-    a = routed.select("part", "kind", "a", F.lit(0).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    b = texts.select("part", F.lit(TEXT).alias("kind"), F.lit(None).cast("binary").alias("a"), "doc_id", "text")
-    return _deal(a.unionByName(b), parts).sortWithinPartitions("kind")
+    """Rows of shards, then the shard's packed texts, in one partition each."""
+    return _deal(routed.unionByName(texts), parts).sortWithinPartitions("kind")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, keep_bytes: bool = False, part_bytes: int = PART_BYTES, hot_docs: int = HOT_DOCS) -> DataFrame:
@@ -601,13 +647,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = every.where("doc_id IS NOT NULL")
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(partitions(docs.sparkSession), -(-n_bytes // part_bytes))
-    own = rows.withColumn("part", _shard(F.col("doc_id"), parts))
+    packed = rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(_pack_texts(parts), ROUTED)
     counted = rows.mapInPandas(_count_anchors(length, parts), ROUTED)
     flags = _deal(counted, parts).mapInPandas(_find_shared(parts, hot_docs), ROUTED)
-    contexts = _with_texts(flags, own, parts).mapInPandas(_contexts(length, parts), ROUTED)
+    contexts = _with_texts(flags, packed, parts).mapInPandas(_contexts(length, parts), ROUTED)
     covers = _deal(contexts, parts).mapInPandas(_sort_parts(length, parts), ROUTED)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-    out = _with_texts(covers, own, parts).mapInPandas(_cut_out(length), schema)
+    out = _with_texts(covers, packed, parts).mapInPandas(_cut_out(length), schema)
     data, none = F.encode("text", "UTF-8"), F.lit(0).cast("long")
     whole = every.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), data.alias("kept"), F.sha2(data, 256).alias("kept_sha256"))
     out = out.unionByName(whole)
