@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, exact_dedup, html_extract, langid, minhash, sstable, suffix, toxicity, warc
+from textloom.llm import bpe, decontam, exact_dedup, html_extract, langid, minhash, quality, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -65,7 +65,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"), length=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_html_main_text, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = quality.fit(quality.labelled_sample(docs, labels.where(~held_out)))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_html_main_text, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup, op11_quality)}
 
 ORACLE_SQL = {
     "op4_decontaminate": decontam.ORACLE_SQL,
