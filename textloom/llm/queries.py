@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, decontam, exact_dedup, html_extract, langid, minhash, phrases, quality, sstable, suffix, toxicity, warc
+from textloom.llm import alignment, bpe, decontam, exact_dedup, html_extract, langid, minhash, phrases, quality, sstable, suffix, toxicity, warc
 from textloom.llm.common import scratch
 
 
@@ -74,11 +74,15 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_html_main_text, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup, op11_quality, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_sstable_tokens, op2_language, op3_byte_bpe, op4_decontaminate, op5_toxicity, op6_html_main_text, op7_exact_dedup, op8_minmax_near_dedup, op9_warc, op10_suffix_dedup, op11_quality, op12_token_alignment, op13_collocations)}
 
 ORACLE_SQL = {
     "op4_decontaminate": decontam.ORACLE_SQL,
