@@ -64,10 +64,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 """
 
 
-def _hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, k: int, **sizes) -> DataFrame:
     e = _t(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return search.topk(e, queries, k, vec_id="vec_id", vector="embedding").join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    return search.topk(e, queries, k, vec_id="vec_id", vector="embedding", **sizes).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
 
 
 @query(_SCORES + "SELECT query_id, id, rank, score FROM r WHERE rank <= 10")
@@ -75,6 +75,12 @@ def vector_topk_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir, 10).select("query_id", "id", "rank", "score")
 
 
+@query(_SCORES + "SELECT query_id, id, rank, score FROM r WHERE rank <= 10")
+def vector_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-sided block product, as for query sets too large to be sent to all tasks."""
+    return _hits(spark, sf_dir, 10, most_queries=0).select("query_id", "id", "rank", "score")
+
+
 @query(_SCORES + "SELECT query_id, id, rank2 AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank2 FROM r WHERE rank <= 100 AND score >= 0.25 AND label <= 3) WHERE rank2 <= 5")
 def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.post_filter(_hits(spark, sf_dir, 100), F.col("label") <= 3, 0.25, 5).select("query_id", "id", "rank", "score")
