@@ -25,17 +25,79 @@ def test_nested_and_verse_documents(spark):
     assert [tuple(r) for r in jsonfiles.verses(verses).collect()] == [("p", 0, "1 In")]
 
 
+PARA = "This paragraph is long enough to be kept by the filters."
+
+
 def test_pages(spark):
-    para = "This paragraph is long enough to be kept by the filters."
-    page = f'<nav><a href="/d/doc1?x=1">m</a></nav><div class="content"><p>{para}<br>[pg 3]</p><p>Next page of this long enough paragraph here</p><p><a href="/d/doc1/">{para}</a></p><p>short</p><a href="http://else/d/doc2">x</a></div><p>outside, though it would be long enough to stay</p>'
+    page = (
+        f'<body><nav><a href="/d/doc1?x=1">m</a></nav><p>{PARA} outside</p><div class="main Content-Body"><p>{PARA}<br>[pg 3]</p><p>Next page of this long enough paragraph here</p>'
+        f'<p><a href="/d/doc1/">{PARA}</a></p><p>short</p><a href="#top/d/doc">t</a><a href="mailto:x@h/d/doc">u</a><a href="http://o/d/doc2">o</a></div></body>'
+    )
     pages = spark.createDataFrame([(1, "http://h/i", page), (2, None, None)], "page_id long, url string, html string")
-    assert [tuple(r) for r in html.paragraphs(pages).collect()] == [(1, 0, para)]
+    assert [tuple(r) for r in html.paragraphs(pages).collect()] == [(1, 0, PARA)]
     assert [r["link"] for r in html.links(pages, "/d/doc").collect()] == ["http://h/d/doc1?x=1"]
     chapter = '<div><span class="verse">1</span> 1 In the <i>beginning</i><br><span class="verse">2 </span>And<span class="verse">x</span>no</div>'
     got = html.chapter_verses(spark.createDataFrame([(1, chapter)], "page_id long, html string"))
     assert [r["text"] for r in got.orderBy("pos").collect()] == ["In the beginning", "And"]
 
 
+def test_paragraphs_of_the_first_container():
+    texts = lambda page: [t for t, _ in html.page_paragraphs(page)]
+    # The first pattern that any div matches, not the first div: class doc-body before id main-content.
+    page = '<body><p>a</p><div id="main_content"><p>b</p><div class="x docbody"><p>c</p></div><p>d</p></div><div class="doc-body"><p>e</p></div></body>'
+    assert texts(page) == ["c"]
+    assert texts(page.replace("docbody", "").replace("doc-body", "")) == ["b", "c", "d"]
+    assert texts("<p>a</p><body><p>b</p></body><p>c</p>") == ["b"] and texts("<p>a<p>b") == ["a", "b"] and texts(None) == []
+    # Pieces are stripped and joined by a blank; elements that are dropped take all they hold along, blockquotes hold paragraphs.
+    assert texts("<p>x <i> y</i>z<script>no</script><!-- c --> w</p>") == ["x y z w"]
+    assert texts("<header><div class='doc-body'><p>no</p></div></header><blockquote>a <p>b</p> c</blockquote><footer><p>no") == ["a b c", "b"]
+    assert html.page_paragraphs("<p>ab<a href=x>cde<b>fg</b></a>h<a>i</a></p></a><p>j</p>") == [("ab cde fg h i", 6), ("j", 0)]
+    many = "<div><li>x" * 20_000 + "<p>end"
+    assert texts(many) == ["end"]
+
+
+def test_documents_of_several_pages(spark):
+    def paragraph(n):
+        return f"<p>Paragraph number {n}. {PARA}</p>"
+
+    rows = [
+        (1, "http://h/index", '<a href="/b?x=1">b</a><a href="/A/">a</a><a href="/none">n</a>' + paragraph(0)),
+        (2, "http://h/a", paragraph(2) + paragraph(1) + paragraph(3)),
+        (3, "http://h/B/", paragraph(1) + paragraph(4) + paragraph(1)),
+        (4, "http://h/a/", paragraph(9)),
+        (5, "http://h/lone", paragraph(7) + paragraph(7)),
+        (6, "http://h/dead", '<a href="/none">n</a>' + paragraph(8)),
+        (7, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.documents(pages).orderBy("doc_id", "page_no", "pos").collect()
+    number = lambda r: int(r["text"].split()[2][:-1])
+    found = {d: [number(r) for r in got if r["doc_id"] == d] for d in {r["doc_id"] for r in got}}
+    # Pages in order of links, each paragraph once; of two pages of one address the first; a page without links as it is.
+    assert found == {1: [1, 4, 2, 3], 2: [2, 1, 3], 3: [1, 4, 1], 4: [9], 5: [7, 7]}
+
+
+def test_documents_query_equals_a_loop(spark):
+    from textloom.plans.queries import html_documents
+
+    sf = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    kept = {}
+    for r in html.paragraphs(spark.read.parquet(f"{sf}/pages.parquet")).collect():
+        kept.setdefault(r["page_id"], []).append((r["pos"], r["text"]))
+    hosts, want = {}, []
+    for r in sorted(pages):
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["page_id"])
+    for ids in hosts.values():
+        seen = set()
+        for i in ids:
+            for pos, text in sorted(kept.get(i, [])):
+                if text not in seen:
+                    seen.add(text)
+                    want.append((ids[0], i, pos, text))
+    assert sorted(map(tuple, html_documents(spark, sf).collect())) == sorted(want) and want
+
+
 def test_hymns(spark):
     text = ["BOOK I", "HYMN I. Agni.", "intro line", "1. I laud Agni, the chosen priest of all,", "God, minister.", "[note]", "see Note here", "2. Short", "BOOK 9", "HYMN VII. Indra", "3. As a good cow to him who milks, we call", "hymn C. Soma", "4. exactly twenty chars", "5. more than twenty chars"]
     rows = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "path string, line_no int, text string")

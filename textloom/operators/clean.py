@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import class_ratio, contains_any, script_class, strip
 
-#: Navigation texts at the start of a paragraph.
-NAVIGATION = r"(?i)^(next|previous|prev|home|contents|index|back|top|menu)\b"
+#: Navigation texts at the start of a paragraph.
+NAVIGATION = r"(?i)^(next|previous|index|contents?|back|forward|home|wisdomlib|copyright|all rights|return to|buy (this|now)|let'?s grow|support|donate|patreon|newsletter|already donated|read more)\b"
+#: Whole paragraphs and parts of paragraphs that page loaders take as boilerplate.
+PAGE_BOILERPLATE = [
+    "Disclaimer: These are translations of Sanskrit texts and are not necessarily approved by everyone associated with the traditions connected to these texts. Consult the source and original scripture in case of doubt.",
+    "I humbly request your help to keep doing what I do best: provide the world with unbiased sources, definitions and images. Your donation direclty influences the quality and quantity of knowledge, wisdom and spiritual insight the world is exposed to.",
+    "Let's make the world a better place together!",
+]
+PAGE_FRAGMENTS = ["humbly request your help to keep doing what i do best", "your donation direclty influences the quality", "isbn-10:", "isbn-13:", "words | isbn"]
 BOILERPLATE = ["all rights reserved", "copyright", "privacy policy", "terms of use", "click here", "cookie policy", "javascript is disabled"]
 #: Names of textloom.functions.text.SCRIPTS that the loader's and the chunker's language filters reject.
 LOADER_SCRIPTS = ["devanagari", "bengali", "gurmukhi", "gujarati", "oriya", "ta", "telugu", "kannada", "malayalam"]
@@ -21,9 +28,8 @@ def is_navigation(text: Column) -> Column:
 
 
 def is_boilerplate(text: Column, fragments: list[str] | None = None, exact: list[str] | None = None) -> Column:
-    low = F.lower(text)
-    out = contains_any(low, BOILERPLATE if fragments is None else fragments)
-    return out | low.isin(exact) if exact else out
+    out = contains_any(F.lower(text), BOILERPLATE if fragments is None else fragments)
+    return out | text.isin(exact) if exact else out
 
 
 def is_link_dense(text: Column, link_chars: Column, share: float = 0.75) -> Column:

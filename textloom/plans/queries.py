@@ -507,11 +507,25 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.paragraphs(_t(spark, sf_dir, "pages"))
 
 
-@query()
+@query(
+    r"""WITH l AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages)),
+a AS (SELECT page_id, CAST(pos AS INT) AS pos, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/]+') || href ELSE href END AS link FROM l WHERE starts_with(href, '/') OR starts_with(href, 'http'))
+SELECT page_id, pos, link FROM a JOIN pages USING (page_id) WHERE regexp_extract(link, '^[a-z]+://([^/]+)', 1) = regexp_extract(url, '^[a-z]+://([^/]+)', 1)
+QUALIFY row_number() OVER (PARTITION BY page_id, regexp_replace(split_part(lower(link), '?', 1), '/+$', '') ORDER BY pos) = 1"""
+)
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.links(_t(spark, sf_dir, "pages"))
 
 
+@query()
+def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A host's pages as one document, its first page the index: links in the order of ids, as another spelling of their URLs."""
+    pages = _t(spark, sf_dir, "pages")
+    hosts = pages.select("page_id", F.concat(F.upper("url"), F.lit("/?x=1")).alias("link"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    index = hosts.select(F.min("page_id").over(Window.partitionBy("host")).alias("page_id"), F.col("page_id").alias("pos"), "link")
+    return html.documents(pages, index=index, asked=index.select("page_id"))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("book"), F.lit("part").alias("pitaka"), F.lit("").alias("source"), F.lit("Buddhism").alias("religion"), F.col("lang").alias("language"))
     windows = chunk.word_windows(docs, 800, 150, 60).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("chunk_no"))
