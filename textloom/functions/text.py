@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,6 +29,21 @@ SCRIPTS = {
 ROMAN = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV", "XVI", "XVII", "XVIII", "XIX", "XX"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once, also where ``use`` has it in functions of array elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """f with its first argument computed once: chains of functions that use their text several times don't multiply."""
+
+    @wraps(f)
+    def bound(text: Column, *args, **kwargs) -> Column:
+        return let(text, lambda t: f(t, *args, **kwargs))
+
+    return bound
+
+
 def strip(c: Column | str) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom import config
+from textloom import config, fixed, messages
 from textloom.functions import text as T
 from textloom.operators import answer, chunk, clean, enrich, ingest, policy, scrub, search, vector
 from textloom.plans import build
@@ -29,8 +29,6 @@ SYNONYMS = [(["the ", "and "], "articles and joints"), (["que"], "relative words
 ENUM_SETS = {"the ": ["one", "two"], "que": ["uno", "dos", "tres"]}
 SIGNALS = ["the ", "that", "with", "from"]
 RULES = policy.Rules(comparative=["better than", "of that", "to be"], comparative_terms=["stupid", "worthless"], hate=["hate", "kill"], foreign_patterns=["the [a-z]+ of", "in [a-z]+ the"], own_scripture=["re", "on"], foreign_terms=["idiot", "clown"])
-REF = "[A-Z][a-z]+ [0-9]+"
-BLOCKED = ["scum", "moron"]
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -393,12 +391,13 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELLO = "case when turn % 7 = 0 then 'Hello good evening!' when turn % 7 = 1 then 'hi ' || text when turn % 7 = 2 then 'What is karma?' when turn % 7 = 3 then 'What does the Gita really teach?' when turn % 7 = 4 then 'Name the suttas' when turn % 7 = 5 then 'Tell me about the Ramayana?' else text end"
 _BOOKS = "(books?|texts?|suttas?|passages?)"
 _WORKS = "(bhagavad ?gita|gita|vedas?|upanishads?|mahabharata|ramayana|puranas?|manusmriti)"
+_GREETS = policy.GREETING.replace("'", "''")
 #: From the survey: explicit requests for lists; questions about a whole scripture.
 _LISTS = [r"\b(list|enumerate)\b", rf"\bwhich {_BOOKS}\b", rf"\b(name|show) (the |all )?{_BOOKS}\b", rf"\ball (the )?{_BOOKS}\b", r"\bbooks? (about|on|that|related)\b"]
 _WHOLE = [rf"\bwhat do(es)? (the )?{_WORKS}\b.{{0,30}}(say|teach|tell us|contain|cover|talk about)\b", r"\b(tell me about|explain) (the )?(bhagavad ?gita|mahabharata|ramayana)\b ?\??$", r"\bwhat is (the )?bhagavad ?gita\b ?\??$", r"\b(overview of|introduce) (the )?(bhagavad ?gita|vedas?|hinduism|upanishads?)\b"]
 
 
-@query(f"""SELECT conv_id, turn, regexp_matches(s, '{policy.GREETING}') OR regexp_matches(regexp_replace(s, '{policy.LEADING}', ''), '{policy.GREETING}') AS greets,
+@query(f"""SELECT conv_id, turn, regexp_matches(s, '{_GREETS}') OR regexp_matches(regexp_replace(s, '{policy.LEADING}', ''), '{_GREETS}') AS greets,
 {_matches_sql("s", _LISTS)} AS lists, {_matches_sql("s", _WHOLE)} AS broad FROM (SELECT *, lower(regexp_replace({_HELLO}, '^{_WS}+|{_WS}+$', '', 'g')) AS s FROM conversations)""")
 def question_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.expr(_HELLO)
@@ -410,9 +409,36 @@ def enum_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.enumeration_items(F.col("text"), ENUM_SETS).alias("items"))
 
 
-@query(f"SELECT conv_id, turn, list_filter(regexp_extract_all(text, '{REF}'), lambda r: NOT contains('the 1 that 2', lower(r))) AS wrong FROM conversations")
+#: From the survey: verse references of each domain, as far as Latin letters write them.
+_BIBLE = r"Genesis|Exodus|Leviticus|Numbers|Deuteronomy|Joshua|Judges|Ruth|[12]\s*Samuel|[12]\s*Kings|[12]\s*Chronicles|Ezra|Nehemiah|Esther|Job|Psalms?|Proverbs?|Ecclesiastes|Isaiah|Daniel|Matthew|Mark|Luke|John|Acts|Romans|[12]\s*Corinthians|James|[12]\s*Peter|[123]\s*John|Jude|Revelation"
+_REFS = {
+    "Hinduism": r"(?i)\b(?:BG|Gita|Bhagavad\s*Gita)\s*\d+[:.-]\d+\b|\b(?:Chandogya|Kena|Isha|Katha)\s+\d+[:.-]\d+(?:[:.-]\d+)?\b|\b(?:RV|AV|SV|YV)\s*\d+[:.-]\d+(?:[:.-]\d+)?\b",
+    "Buddhism": r"(?i)\b(?:SN|MN|DN|AN|KN|Dhp|Ud|Iti|Snp|Thag|Thig|Ja|Cp|Mil|Pv|Vv|Vb|Ds|Kv|Pp|Ps|Ya)\s*\d+[.\d]*\b",
+    "Christianity": rf"\b(?:{_BIBLE})\s+\d+:\d+(?:-\d+)?\b",
+}
+_DOMAIN = "CASE WHEN {0} % 3 = 0 THEN 'Hinduism' WHEN {0} % 3 = 1 THEN 'Buddhism' ELSE 'Christianity' END"
+_CITING = "concat(text, ' So BG ', {0}, '.', {1}, ', sn ', {1}, '.3 and 1 John ', {0}, ':', {1}, '-7 ( say.')"
+_CONTEXT = "concat(text, ' bg ', {0}, '.7, Sn ', {1}, '.3, 1 JOHN 3:', {1})"
+
+
+def _refs_sql(domain: str, text: str) -> str:
+    return f"CASE {domain} " + " ".join(f"WHEN '{d}' THEN regexp_extract_all({text}, '{p}')" for d, p in _REFS.items()) + " END"
+
+
+@query(f"""SELECT doc_id, refs, list_filter(refs, lambda r: NOT contains(lower(context), lower(r))) AS wrong FROM
+(SELECT doc_id, {_CONTEXT.format("doc_id", "n_chars")} AS context, {_refs_sql(_DOMAIN.format("doc_id"), _CITING.format("doc_id", "n_chars"))} AS refs FROM documents)""")
+def references_by_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_DOMAIN.format("doc_id")).alias("domain"), F.expr(_CITING.format("doc_id", "n_chars")).alias("text"), F.expr(_CONTEXT.format("doc_id", "n_chars")).alias("context"))
+    text, domain = F.col("text"), F.col("domain")
+    return rows.select("doc_id", policy.references(text, domain).alias("refs"), policy.unsupported_references(text, F.col("context"), domain).alias("wrong"))
+
+
+@query(f"SELECT conv_id, turn, list_filter({_refs_sql("'Buddhism'", "text || ' SN ' || turn || '.' || conv_id || ', MN ' || turn")}, lambda r: NOT contains(lower(asked), lower(r))) AS wrong FROM (SELECT conv_id, turn, text, coalesce(lag(text || ' mn ' || turn) OVER (PARTITION BY conv_id ORDER BY turn), '') AS asked FROM conversations)")
 def fabricated_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", policy.unsupported_references(F.col("text"), F.lit("the 1 that 2"), REF).alias("wrong"))
+    before = F.lag(F.concat("text", F.lit(" mn "), "turn")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = F.concat("text", F.lit(" SN "), "turn", F.lit("."), "conv_id", F.lit(", MN "), "turn")
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", said.alias("said"), before.alias("asked"))
+    return rows.select("conv_id", "turn", policy.unsupported_references(F.col("said"), F.col("asked"), "Buddhism").alias("wrong"))
 
 
 _ANSWERS = "case when turn % 5 = 1 then '....' || repeat('…', 40) when turn % 5 = 2 then null when turn % 5 = 3 then '      short text between blanks           ' else text end"
@@ -427,19 +453,35 @@ def weak_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", policy.is_weak(text, ["that", "este"]).alias("weak"), policy.is_mismatch(text, text, {"that": SIGNALS, "que": SIGNALS}).alias("mismatch"))
 
 
-@query()
-def moderate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = policy.moderate_output(F.col("text"), F.lit("the 1"), BLOCKED, "blocked", REF)
-    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", out.alias("out")).select("conv_id", "turn", "out.text", "out.warnings")
-
-
-# ---- scrubs --------------------------------------------------------------------------------------------------------
+_SAID = "case when turn % 5 = 0 then concat('I think so. ', text, ' BG ', turn, '.', conv_id, ' ( RV 1.2.3 ) [Source: a | b]') when turn % 5 = 1 then concat(text, ' [மூலம்: x]  The Church says SN 1.2') when turn % 5 = 2 then concat(' ', substr(text, 1, turn), ' my view [Source: b]   ') else text end"
 
 
 def _spaced_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '  +', ' ', 'g'), '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+def _foreign_sql(domain: str) -> str:
+    return "CASE " + " ".join(f"WHEN {domain} = '{d}' AND contains(lower(t), '{x}') THEN '{x}'" for d, xs in fixed.FOREIGN_TERMS.items() for x in xs) + " END"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, {_DOMAIN.format("conv_id")} AS domain, CASE conv_id % 2 WHEN 0 THEN 'si' ELSE 'en' END AS language, text AS context,
+  {_spaced_sql(f"regexp_replace({_SAID}, '[[](Source|மூலம்)[^]]*[]]', '', 'g')")} AS t FROM conversations),
+f AS (SELECT *, {_foreign_sql("domain")} AS foreign_term, regexp_matches(lower(t), '\\bi (think|believe|feel|personally|would say)\\b|\\bmy (view|opinion|take|perspective)\\b') AS opinion,
+  list_filter({_refs_sql("domain", "t")}, lambda r: NOT contains(lower(context), lower(r))) AS wrong FROM s)
+SELECT conv_id, turn, CASE WHEN foreign_term IS NOT NULL THEN CASE language WHEN 'si' THEN '{messages.UNGROUNDED["si"]}' ELSE '{messages.UNGROUNDED["en"]}' END
+  WHEN length(t) < 30 THEN CASE language WHEN 'si' THEN '{messages.FALLBACK[("si", "no_context")]}' ELSE '{messages.FALLBACK[("en", "no_context")]}' END
+  WHEN len(wrong) > 0 THEN regexp_replace(regexp_replace({"CASE domain " + " ".join(f"WHEN '{d}' THEN regexp_replace(t, '{p}', '', 'g')" for d, p in _REFS.items()) + " END"}, '\\(\\s*\\)', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g') ELSE t END AS text,
+CASE WHEN foreign_term IS NOT NULL THEN ['cross_religion_term:' || foreign_term] ELSE list_concat(CASE WHEN opinion THEN ['personal_opinion_detected'] ELSE [] END,
+  CASE WHEN length(t) < 30 THEN ['response_too_short'] ELSE list_transform(wrong, lambda r: 'fabricated_reference:' || r) END) END AS warnings FROM f""")
+def moderate_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_DOMAIN.format("conv_id")).alias("domain"), F.when(F.col("conv_id") % 2 == 0, "si").otherwise("en").alias("language"), F.col("text").alias("context"), F.expr(_SAID).alias("said"))
+    out = policy.moderate_output(F.col("said"), F.col("context"), F.col("domain"), F.col("language"))
+    return rows.withColumn("out", out).select("conv_id", "turn", "out.text", "out.warnings")
+
+
+# ---- scrubs --------------------------------------------------------------------------------------------------------
+
+
 @query(f"SELECT doc_id, {_spaced_sql("regexp_replace(text || ' [Source: ' || source || '] ' || '[மூலம்: x]  end', '[[](Source|மூலம்)[^]]*[]]', '', 'g')")} AS scrubbed FROM documents")
 def scrub_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_tags(F.concat("text", F.lit(" [Source: "), "source", F.lit("] [மூலம்: x]  end"))).alias("scrubbed"))
@@ -473,7 +515,8 @@ def repetition_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.trim_repetition(F.col("text")).alias("trimmed"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, {_STRIP} AS t FROM (SELECT doc_id, text || ' and so' AS text FROM documents)), k AS (SELECT *, regexp_extract(t, '(?s)^(.*[.!?។][''")\\]]*)(\\s|$)', 1) AS kept FROM s)
+SELECT doc_id, CASE WHEN kept <> '' AND length(kept) >= 0.8 * length(t) THEN kept ELSE t END AS trimmed FROM k""")
 def sentence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.trim_sentence(F.concat("text", F.lit(" and so"))).alias("trimmed"))
 
@@ -484,17 +527,35 @@ def question_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip("text").alias("text")).select("conv_id", "turn", scrub.scrub_echo(said).alias("scrubbed"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT contains(lower(s), 'tion')), ' ') AS scrubbed FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT contains(s, 'tion')), ' ') AS scrubbed FROM documents")
 def tangent_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", scrub.drop_tangents(F.col("text"), F.lit("the that"), ["tion", "that"]).alias("scrubbed"))
 
 
-@query("SELECT doc_id, regexp_replace(text || CASE WHEN contains('src1', source) THEN ' (see ' || source || ')' ELSE ' ' END, '  +', ' ', 'g') AS scrubbed FROM documents")
+_CITED = "concat(text, '. ', source, ' ග්‍රන්ථයේ සඳහන් වන පරිදි, so ', source, '; 1 කොරින්ති பொ புத்தகத்தில் எழுதப்பட்டுள்ளபடி end')"
+
+
+@query(
+    rf"""WITH c AS (SELECT doc_id, {_CITED} AS t, CASE doc_id % 2 WHEN 0 THEN concat('the ', source) ELSE 'none' END AS context, '[\p{{L}}\p{{N}}_\s\x{{0D80}}-\x{{0DFF}}\x{{0B80}}-\x{{0BFF}}]+?\s*(?:ග්‍රන්ථයේ\s*(?:ලියා\s*ඇති|සඳහන්\s*වන)\s*පරිදි|புத்தகத்தில்\s*எழுதப்பட்டுள்ளபடி)[,\s]*' AS p FROM documents),
+m AS (SELECT *, regexp_extract_all(t, p) AS found FROM c)
+SELECT doc_id, regexp_replace(array_to_string(list_transform(list_zip(string_split(regexp_replace(t, p, chr(1), 'g'), chr(1)), found), lambda x: x[1] || CASE WHEN len(list_filter(string_split_regex(coalesce(x[2], ''), '\s+'), lambda w: length(w) > 3 AND contains(context, w))) > 0 THEN x[2] ELSE '' END), ''), '^{_WS}+|{_WS}+$', '', 'g') AS scrubbed FROM m"""
+)
 def citation_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", scrub.scrub_citations(F.concat("text", F.lit(" (see "), "source", F.lit(")")), F.lit("src1")).alias("scrubbed"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.expr(_CITED).alias("text"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("the "), "source")).otherwise("none").alias("context"))
+    return rows.select("doc_id", scrub.scrub_citations(F.col("text"), F.col("context")).alias("scrubbed"))
 
 
-@query()
+@query("""SELECT doc_id, trim(array_to_string(list_filter(string_split(replace(replace(text, 'The of.', ''), 'The of', ''), '.'), lambda s: NOT (contains(s, 'tion') OR contains(s, 'que'))), '.'), '. ' || chr(10)) AS scrubbed FROM documents""")
+def hedge_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", scrub.drop_hedges(F.col("text"), ["tion", "que"], "The of").alias("scrubbed"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, text, CASE WHEN length(text) <= 4500 THEN [text] ELSE list_filter(list_transform(list_append(r.done, r.opened), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '') END AS parts FROM
+  (SELECT doc_id, text, list_reduce(list_transform(string_split(replace(text, '.' || chr(10), '. '), '. '), lambda x: {{done: CAST([] AS VARCHAR[]), opened: x || '. ', n: length(x)}}),
+    lambda a, x: CASE WHEN length(a.opened) + x.n < 4500 THEN {{done: a.done, opened: a.opened || x.opened, n: x.n}} ELSE {{done: list_append(a.done, a.opened), opened: x.opened, n: x.n}} END) AS r FROM documents))
+SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INT) AS part, unnest(parts) AS text FROM p"""
+)
 def pack_4500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(scrub.pack(F.col("text"))).alias("part", "text"))
 
@@ -526,8 +587,8 @@ def html_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.documents(pages, index=index, asked=index.select("page_id"))
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("book"), F.lit("part").alias("pitaka"), F.lit("").alias("source"), F.lit("Buddhism").alias("religion"), F.col("lang").alias("language"))
+def _chunks(spark: SparkSession, sf_dir: str, religion: str = "Buddhism", language: Column | str = "lang") -> tuple[DataFrame, DataFrame]:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("book"), F.lit("part").alias("pitaka"), F.lit("").alias("source"), F.lit(religion).alias("religion"), (F.col(language) if isinstance(language, str) else language).alias("language"))
     windows = chunk.word_windows(docs, 800, 150, 60).withColumn("id", F.col("doc_id") * 1_000_000 + F.col("chunk_no"))
     windows = windows.withColumnRenamed("chunk", "text").drop("doc_id", "chunk_no")
     path = scratch(spark, "index")
@@ -549,3 +610,14 @@ def answer_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").where("role = 'user'")
     asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), F.lit("en").alias("language"))
     return router.answer(asked)
+
+
+@query()
+def answer_router_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Christian domain asked in three languages: French and Spanish texts stand for Sinhala and Tamil chunks."""
+    language = F.when(F.col("lang") == "fr", "si").when(F.col("lang") == "es", "ta").otherwise("en")
+    index, chunks = _chunks(spark, sf_dir, "Christianity", language)
+    router = answer.Router(config.domain("Christianity"), index, chunks, lambda c: vector.encode_column(c, vector.hash_encoder), rules=RULES)
+    turns = _t(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = F.when(F.col("conv_id") % 3 == 0, "si").when(F.col("conv_id") % 3 == 1, "ta").otherwise("en")
+    return router.answer(turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), asked.alias("language")))
