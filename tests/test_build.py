@@ -34,3 +34,22 @@ def test_paths(spark):
     assert got == {2: "/r/si/mark/02.htm", 3: "/r/si/mark3.htm", 4: "/r/old/mark/x/4.html", 5: None}
     row = spark.range(1).select(paths.language_code(F.lit("Tamil")).alias("a"), paths.verse_url("http://x/{book}/{chapter}", F.lit("1 John"), F.lit(2)).alias("b")).first()
     assert tuple(row) == ("ta", "http://x/1+John/2")
+
+
+def test_chapter_files_by_names(spark):
+    names = [
+        "/r/SI/Mark/002.HTM",  # case aside, leading zeros
+        "/r/si/psalm119.htm",  # book "psalm" or "psalm1"
+        "/r/si/1john3.html",
+        "/x/1john/y/z/12.html",
+        "/r/ta/1john/03.htm",
+        "/r/ta/1john3.htm",  # the folder comes first
+        "/r/si/a.b(c/7.htm",  # signs of patterns are plain text
+        "/r/si/axb(c/8.htm",
+        "/r/si/mark/x.htm",
+    ]
+    files = spark.createDataFrame([(n,) for n in names], "path string")
+    wanted = [("si", "mark", 2, 0), ("si", "psalm", 119, 1), ("si", "psalm1", 19, 1), ("si", "1john", 3, 2), ("si", "1john", 12, 3), ("ta", "1john", 3, 4), ("si", "a.b(c", 7, 6), ("si", "a.b(c", 8, None), ("en", "1john", 3, 4)]
+    table = spark.createDataFrame([w[:3] for w in wanted], "language string, book string, chapter int")
+    got = {tuple(r)[:3]: r["path"] for r in paths.locate_chapters(table, files).collect()}
+    assert got == {w[:3]: None if w[3] is None else names[w[3]] for w in wanted}

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import ingest
 from textloom.sources import html, jsonfiles, lines
-from textloom.streaming.ingest import ingest_sections, read_ingested
+from textloom.operators.ingest import read_sections
+from textloom.streaming.ingest import ingest_sections, ingest_with_progress, read_ingested, reset_sections
 
 
 def test_section_files(spark, tmp_path):
@@ -150,3 +152,101 @@ def test_stream_reads_each_file_once(spark, tmp_path):
     ingest_sections(spark, source, target, checkpoint)
     ingest_sections(spark, source, target, checkpoint)
     assert sorted(tuple(r) for r in read_ingested(spark, target).select("section", "pos", "text").collect()) == [("a", 0, "1"), ("a", 1, "2"), ("b", 0, "3")]
+
+
+def test_stream_with_progress_resumes_in_the_middle(spark, tmp_path):
+    source, target, progress, checkpoint = (str(tmp_path / x) for x in ("in", "out", "progress", "check"))
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / f"in/s_{i}__si.json").write_text(json.dumps([f"{i}a", f"{i}b"]), encoding="utf-8")
+    (tmp_path / "in/bad.json").write_text("{", encoding="utf-8")
+    seen = []
+
+    def stop(number):
+        seen.append(number)
+        if len(seen) == 3:
+            raise RuntimeError("lost in between")
+
+    run = lambda hook: ingest_with_progress(spark, source, target, progress, checkpoint, 1, hook)
+    with pytest.raises(Exception, match="lost in between"):
+        run(stop)
+    assert spark.read.parquet(progress).count() == 2
+    run(seen.append)
+    # The batch that stopped ran once more, under its number; each file was read once besides.
+    assert seen == [0, 1, 2, 2, 3, 4]
+    got = sorted(tuple(r) for r in read_sections(spark, target).select("section", "language", "pos", "text").collect())
+    assert got == [(f"s {i}", "si", n, f"{i}{x}") for i in range(4) for n, x in enumerate("ab")]
+    done = {(r["section"], r["language"]): (r["n"], r["ok"]) for r in spark.read.parquet(progress).collect()}
+    assert done == {(f"s {i}", "si"): (2, True) for i in range(4)} | {("bad", "en"): (0, False)}
+    # A later file of a section replaces it, another language stays; a run without new files changes nothing.
+    (tmp_path / "in/later").mkdir()
+    (tmp_path / "in/later/s_1__si.json").write_text('["new"]', encoding="utf-8")
+    (tmp_path / "in/later/s_1__ta.json").write_text('["t"]', encoding="utf-8")
+    run(None)
+    run(None)
+    assert sorted(r["text"] for r in read_sections(spark, target).where("section = 's 1'").collect()) == ["new", "t"]
+    assert reset_sections(spark, progress, "si").count() == 2
+    expected = spark.createDataFrame([("s 1", "si"), ("s 9", "si")], "section string, language string")
+    assert [r["section"] for r in ingest.pending(expected, spark.read.parquet(progress).where("ok"), "section").collect()] == ["s 9"]
+
+
+def test_clean_in_place_leaves_other_files_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    rows = [("01", "good"), ("01", "bad"), ("1", "good"), ("a/b: c", "bad"), ("a/b: c", None), ("d e", "bad"), ("d e", "good"), ("d e", "good")]
+    ingest.write_sections(spark.createDataFrame(rows, "section string, text string").repartition(1), str(path))
+    state = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    before = state()
+    report = ingest.clean_in_place(spark, str(path), F.col("text") == "good")
+    assert sorted(map(tuple, report.collect())) == [("01", 2, 1), ("a/b: c", 2, 2), ("d e", 3, 1)]
+    assert sorted(map(tuple, ingest.read_sections(spark, str(path)).select("section", "text").collect())) == [("01", "good"), ("1", "good"), ("d e", "good"), ("d e", "good")]
+    after = state()
+    assert [f for f in before if after.get(f) == before[f]] == [f for f in before if f.startswith("section=1/")] and len(list(path.glob("section=*"))) == 3
+    assert ingest.clean_in_place(spark, str(path), F.col("text") == "good").count() == 0 and state() == after
+
+
+def test_totals_come_from_footers(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).repartition(3).write.parquet(path)
+    spark.range(0).write.parquet(str(tmp_path / "e"))
+    got = {r["name"]: r for r in ingest.table_totals(spark, {"t": path, "e": str(tmp_path / "e")}).collect()}
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert (got["t"]["n_files"], got["t"]["n_bytes"], got["t"]["n_rows"]) == (3, size, 1000) and got["e"]["n_rows"] == 0
+    plan = ingest.table_totals(spark, {"t": path})._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
+def test_encodings(spark):
+    text = "é日本\U0001f600"
+    cases = [
+        (text.encode(), None, text),
+        (b"\xef\xbb\xbf" + text.encode(), None, text),
+        ("é".encode("latin-1"), None, "é"),
+        (text.encode("utf-16"), None, text),
+        (b"\xfe\xff" + text.encode("utf-16-be"), None, text),
+        # As named, with broken bytes replaced.
+        (b"a\xffb", "utf-8", "a\ufffdb"),
+        (text.encode("utf-16") + b"x", "UTF-16", text + "\ufffd"),
+        (b"\xff\xfe\x00\xd8a\x00", None, b"\xff\xfe\x00\xd8a\x00".decode("utf-16", errors="replace")),
+        ("é".encode(), "iso-8859-1", "Ã©"),
+        (b"", None, ""),
+        (None, None, None),
+    ]
+    rows = spark.createDataFrame([(i, c, e) for i, (c, e, _) in enumerate(cases)], "i int, content binary, encoding string")
+    got = {r["i"]: (r["a"], r["b"]) for r in rows.select("i", jsonfiles.decode_text(F.col("content"), F.col("encoding")).alias("a"), jsonfiles.decode_text(F.col("content")).alias("b")).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [w for *_, w in cases]
+    assert all(got[i][1] == w for i, (_, e, w) in enumerate(cases) if e is None)
+
+
+def test_keys_are_those_of_each_files_first_object(spark):
+    files = {
+        "a": [{"verse_id": 7, "chapter_number": 1, "verse_number": 3}, {"verse_id": 8, "id": 99, "chapter": 5}, "no object", [1], None],
+        "b": ["skip", {"id": "x", "ch": "2", "sl": {"n": 1}}, {"verse_id": 1, "id": None, "ch": 3}],
+        "c": [{"verse_id": 5, "chapter_id": 1, "shloka": 4, "sl": 6}],
+        "d": [],
+        "e": {"verse_id": 1},
+    }
+    rows = [(k, json.dumps(v)) for k, v in files.items()] + [("f", "{broken"), ("g", None)]
+    table = spark.createDataFrame(rows, "path string, text string")
+    got = jsonfiles.keyed_records(table, jsonfiles.VERSE_KEYS, jsonfiles.VERSE_INSTEAD)
+    assert got.columns == ["path", "pos", "id", "chapter", "verse"]
+    assert sorted(map(tuple, got.collect())) == [("a", 0, "7", "1", "3"), ("a", 1, "8", None, None), ("b", 0, "x", "2", '{"n":1}'), ("b", 1, None, "3", None), ("c", 0, "5", "1", "6")]

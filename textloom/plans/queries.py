@@ -11,7 +11,7 @@ from textloom import config, fixed, messages
 from textloom.functions import text as T
 from textloom.operators import answer, chunk, clean, enrich, ingest, policy, scrub, search, vector
 from textloom.plans import build
-from textloom.sources import html, lines
+from textloom.sources import html, jsonfiles, lines, paths
 from textloom.storage import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -321,6 +321,57 @@ def feedback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.feedback_rows(rows)
 
 
+@query("""WITH k AS (SELECT source AS section, NOT contains(text, '!!') AND length(text) >= 200 AS keep FROM documents)
+SELECT section, count(*) AS before, count(*) FILTER (NOT keep) AS removed, count(*) FILTER (keep) AS after FROM k GROUP BY section HAVING count(*) FILTER (NOT keep) > 0""")
+def clean_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections that lose rows, with what is in the table once it has been cleaned."""
+    path = scratch(spark, "sections")
+    ingest.write_sections(_t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("section")), path)
+    report = ingest.clean_in_place(spark, path, ~F.col("text").contains("!!") & (F.length("text") >= 200))
+    left = ingest.read_sections(spark, path).groupBy("section").agg(F.count("*").alias("after"))
+    return report.join(left, "section", "left").select("section", "before", "removed", F.coalesce("after", F.lit(0)).alias("after"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_rows, true AS sized FROM {t}" for t in ("documents", "embeddings")))
+def table_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = ingest.table_totals(spark, {t: f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings")})
+    return totals.select("name", "n_rows", ((F.col("n_bytes") > 0) & (F.col("n_files") > 0)).alias("sized"))
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS pos, CAST(turn AS VARCHAR) AS id, CAST(conv_id AS VARCHAR) AS chapter,
+CASE conv_id % 3 WHEN 2 THEN NULL ELSE CAST(turn + 1 AS VARCHAR) END AS verse, text FROM conversations""")
+def record_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as JSON files of three shapes; in the third only an id is there to stand for the verse."""
+    number = F.col("turn") + 1
+    shapes = [
+        F.struct("role", F.col("turn").alias("verse_id"), F.col("conv_id").alias("chapter_number"), number.alias("verse_number"), "text"),
+        F.struct("role", F.col("turn").alias("id"), F.col("conv_id").alias("ch"), number.alias("sl"), F.col("text").alias("meaning")),
+        F.struct("role", F.col("turn").alias("verse_id"), F.col("conv_id").alias("chapter"), F.col("text").alias("translation")),
+    ]
+    rows = _t(spark, sf_dir, "conversations").withColumn("kind", F.col("conv_id") % 3)
+    files = None
+    for n, shape in enumerate(shapes):
+        own = rows.where(F.col("kind") == n).groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", shape.alias("x")))), lambda r: r["x"])).alias("json"))
+        files = own if files is None else files.unionByName(own)
+    keys = jsonfiles.VERSE_KEYS | {"text": jsonfiles.TRANSLATION_KEYS["text"]}
+    return jsonfiles.keyed_records(files.select(F.col("conv_id").cast("string").alias("path"), F.col("json").alias("text")), keys, jsonfiles.VERSE_INSTEAD)
+
+
+_PLACES = "CASE doc_id % 4 WHEN 0 THEN concat('/r/', upper(lang), '/', source, '/00', doc_id, '.htm') WHEN 1 THEN concat('/r/', lang, '/', source, doc_id, '.html') WHEN 2 THEN concat('/old/', source, '/x/', doc_id, '.htm') ELSE concat('/old/', source, doc_id, '/y.htm') END"
+
+
+@query(
+    rf"""WITH f AS (SELECT {_PLACES} AS path FROM documents), w AS (SELECT lang AS language, source AS book, CAST(doc_id AS INT) AS chapter FROM documents),
+p AS (SELECT w.*, path, CASE WHEN regexp_matches(path, '(?i)/' || language || '/' || book || '/0*' || chapter || '\.html?$') THEN 0 WHEN regexp_matches(path, '(?i)/' || language || '/' || book || '0*' || chapter || '\.html?$') THEN 1
+  WHEN contains(path, '/' || book || '/') AND regexp_matches(path, '[^0-9]0*' || chapter || '\.html?$') THEN 2 END AS place FROM w, f WHERE contains(path, CAST(chapter AS VARCHAR)))
+SELECT w.language, w.book, w.chapter, arg_min(path, place) AS path FROM w LEFT JOIN (SELECT * FROM p WHERE place IS NOT NULL) p ON w.language = p.language AND w.book = p.book AND w.chapter = p.chapter GROUP BY ALL"""
+)
+def chapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    wanted = docs.select(F.col("lang").alias("language"), F.col("source").alias("book"), F.col("doc_id").cast("int").alias("chapter"))
+    return paths.locate_chapters(wanted, docs.select(F.expr(_PLACES).alias("path")))
+
+
 _FOREIGN_SCRIPTS = r"[\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0AFF}\x{0B00}-\x{0BFF}\x{0C00}-\x{0D7F}]"
 
 
@@ -344,14 +395,14 @@ def priority_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM conversations),
-v AS (SELECT conv_id, turn, floor(turn / 3) AS hymn, array_to_string(w[1:12], ' ') AS words FROM l WHERE turn % 3 <> 0)
-SELECT CAST(conv_id AS VARCHAR) AS path, 'Rig Veda 1.' || CAST(hymn + 1 AS BIGINT) || '.' || turn || ' (Title): ' || words AS text FROM v WHERE hymn < 3 AND length(words) > 20"""
+v AS (SELECT conv_id, turn, floor(turn / 3) AS hymn, array_to_string(w, ' ') AS words FROM l WHERE turn % 3 <> 0)
+SELECT CAST(conv_id AS VARCHAR) AS path, 'Rig Veda 1.' || CAST(hymn + 1 AS BIGINT) || '.' || turn || ' (Title): ' || words AS text FROM v WHERE length(words) > 20"""
 )
 def hymns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numerals, words = F.array(*[F.lit(x) for x in ("I", "II", "III")]), F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 12), "  ")
+    numerals, words = F.array(*[F.lit(x) for x in T.ROMAN]), F.array_join(F.filter(F.split("text", r"\s+"), lambda w: w != ""), "  ")
     head = F.concat(F.lit("HYMN "), F.get(numerals, F.floor(F.col("turn") / 3).cast("int")), F.lit(". Title."))
     line = F.when(F.col("turn") % 3 == 0, head).otherwise(F.concat("turn", F.lit(". "), words))
-    rows = _t(spark, sf_dir, "conversations").where("turn < 9").select(F.col("conv_id").cast("string").alias("path"), "turn", line.alias("text"))
+    rows = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), "turn", line.alias("text"))
     noise = rows.select("path", (F.col("turn") + 0.5).alias("turn"), F.lit("[note]").alias("text"))
     return lines.hymn_verses(rows.unionByName(noise), order="turn").select("path", "text")
 
