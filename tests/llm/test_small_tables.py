@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -340,6 +341,7 @@ def test_html(spark):
         (3, "http://h/3", f"<body>{boiler}<p>Words of page three that differ from the others in all of their places.</p>"),
         (4, None, None),
         (5, "http://other/1", f"<body>{boiler}"),
+        (7, "http://h/7", f"<body>{boiler}<p>Words of page seven. That differ from all others in most of their places.</p>"),
         (6, "not a url", ""),
         (None, "http://h/1", "<article>x</article>"),
     ]
@@ -394,30 +396,36 @@ def brute_main_texts(pages):
                 keep = [not has_main and not m and s <= html_extract.LINK_SHARE for _, s, m in other]
                 own.append((i, main if has_main else [t[0] for t, k in zip(other, keep, strict=True) if k], [t[0] for t, k in zip(other, keep, strict=True) if not k], has_main))
         distinct = {(tuple(kept), tuple(rest)) for _, kept, rest, _ in own}
-        held: dict = {}
+        held, in_kept = Counter(), Counter()
         for kept, rest in distinct:
-            grams = {tuple(t[j : j + w]) for t in [" ".join(kept).split(" "), *(b.split(" ") for b in rest)] for j in range(len(t) - w + 1)}
-            for g in grams | {("whole", *b.split(" ")) for b in (*kept, *rest) if len(b.split(" ")) < w}:
-                held[g] = held.get(g, 0) + 1
-        bad = lambda g, article: held.get(g, 0) >= (3 if article else 2) and 100 * held.get(g, 0) >= (50 if article else 30) * len(distinct)  # noqa: B023,E731
+            for counter, others in ((held, rest), (in_kept, ())):
+                grams = {tuple(t[j : j + w]) for t in [" ".join(kept).split(" "), *(b.split(" ") for b in others)] for j in range(len(t) - w + 1)}
+                counter.update(grams | {("whole", *b.split(" ")) for b in (*kept, *others) if len(b.split(" ")) < w})
+        bad = lambda g, article: (in_kept[g] >= 4 and 100 * in_kept[g] >= 50 * len(distinct)) if article else (held[g] >= 3 and 100 * held[g] >= 30 * len(distinct))  # noqa: B023,E731
         for i, kept, _, has_main in own:
-            stream = [(b, t) for b, text in enumerate(kept) for t in text.split(" ")]
+            stream = [t for text in kept for t in text.split(" ")]
             gone = set()
             for j in range(len(stream) - w + 1):
-                if bad(tuple(t for _, t in stream[j : j + w]), has_main):
+                if bad(tuple(stream[j : j + w]), has_main):
                     gone |= set(range(j, j + w))
-            blocks = [" ".join(t for j, (n, t) in enumerate(stream) if n == b and j not in gone) for b in range(len(kept))]
+            at, blocks = 0, []
+            for text in kept:
+                ts = text.split(" ")
+                ends = [n for n, t in enumerate(ts, 1) if t.endswith((".", "!", "?")) or n == len(ts)]
+                whole = [(x, y) for x, y in zip([0, *ends], ends, strict=False) if not all(at + n in gone for n in range(x, y))]
+                blocks.append(" ".join(t for x, y in whole for t in ts[x:y]))
+                at += len(ts)
             out[i] = "\n\n".join(t for b, t in enumerate(blocks) if t and (has_main or len(kept[b].split(" ")) >= w or not bad(("whole", *kept[b].split(" ")), False)))
     return out
 
 
 def test_html_equals_loops_over_whole_hosts(spark):
     rng = np.random.default_rng(9)
-    passages = [" ".join(f"p{k}w{j}" for j in range(int(rng.integers(3, 25)))) for k in range(8)]
+    passages = [" ".join(f"p{k}w{j}" + ("." if rng.random() < 0.15 else "") for j in range(int(rng.integers(3, 25)))) for k in range(8)]
     pages = []
     for i in range(260):
         n_host = int(rng.integers(0, 3)) if i < 200 else 3
-        blocks = [passages[int(rng.integers(0, 8))] if rng.random() < 0.5 else " ".join(f"u{i}x{j}" for j in range(int(rng.integers(1, 15)))) for _ in range(int(rng.integers(1, 6)))]
+        blocks = [passages[int(rng.integers(0, 8))] + (f" own{i} words" if rng.random() < 0.3 else "") if rng.random() < 0.5 else " ".join(f"u{i}x{j}" for j in range(int(rng.integers(1, 15)))) for _ in range(int(rng.integers(1, 6)))]
         body = "".join(f"<p>{b}</p>" for b in blocks)
         nav = f"<nav>{passages[int(rng.integers(0, 8))]}</nav>"
         page = nav + (f"<article>{body}</article>" if rng.random() < 0.5 else body)
@@ -427,6 +435,35 @@ def test_html_equals_loops_over_whole_hosts(spark):
     assert got == brute_main_texts(pages)
 
 
+def test_html_titles_and_classes_of_articles():
+    read = lambda page: html_extract.parse(f"<article>{page}</article>")[0]
+    kept = ["<h2 id='related-work'>x</h2>", "<h2 id='search-algorithms'>x</h2>", "<h3 class='header'>x</h3>", "<p id='search-for-truth'>x", "<p class='side-effects'>x", "<section class='form-and-function'>x</section>", "<div class='promotion-to-captain'>x</div>", "<div id='no-comments'>x</div>"]
+    assert [read(p) for p in kept] == [["x"]] * len(kept)
+    gone = ["<div class='ad'>x</div>", "<div class='ad-slot-3'>x</div>", "<div id='comments-list'>x</div>", "<section class='x relatedPosts'>x</section>", "<p class='cookie-notice'>x", "<ul class='share-buttons'><li>x</ul>", "<div class='newsletterSignup'>x</div>"]
+    assert [read(p) for p in gone] == [[]] * len(gone)
+
+
+def test_html_articles_are_not_judged_by_what_is_around_them(spark):
+    """An advert that quotes an article's first line on many pages takes nothing from the article; small hosts keep what two pages share."""
+    line = "The first line of an article that adverts elsewhere on the host like to quote"
+    pages = [(i, f"http://a/{i}", f"<div class='ad'>{line}</div><article><h1>Head {i}</h1><p>{line if i < 2 else f'own line {i}'}.</p></article>") for i in range(6)]
+    part = "of the same things that both of the pages go on about for a while"
+    pages += [(10 + i, f"http://b/{i}", f"<h2>{'Introduction' if i < 2 else f'Part {i}'}</h2><p>Page {i} has own words {part if i < 2 else ' '.join(f'w{i}x{j}' for j in range(12))} {i}.</p>") for i in range(5)]
+    got = by_id(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in (0, 1)] == [f"Head {i}\n\n{line}." for i in (0, 1)]
+    assert [got[10 + i]["text"] for i in (0, 1)] == [f"Introduction\n\nPage {i} has own words {part} {i}." for i in (0, 1)]
+
+
+def test_html_repetition_finds_what_structure_does_not(spark):
+    """Unmarked notices within articles and unmarked blocks of pages without one go; sentences stay whole."""
+    notice = "By reading on you accept our terms and all that follows from them."
+    own = lambda i: f"Page {i} tells of {' '.join(f'w{i}x{j}' for j in range(15))}. It is said that {i} is a number."
+    pages = [(i, f"http://a/{i}", f"<article><p>{own(i)} {notice}</p></article>") for i in range(8)]
+    pages += [(20 + i, f"http://b/{i}", f"<div>{notice}</div><div>{own(i)}</div>") for i in range(8)]
+    got = by_id(html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id")
+    assert [got[i]["text"] for i in range(8)] == [own(i) for i in range(8)] == [got[20 + i]["text"] for i in range(8)]
+
+
 def test_html_article_notices(spark):
     notice = "<p>Read our terms</p><p>and give your consent to all of them today</p>"
     pages = [(i, f"http://h/{i}", f"<article>{notice}<p>" + " ".join(f"w{i}x{j}" for j in range(20)) + "</p><p>Short head</p></article>") for i in range(200)]

@@ -6,8 +6,8 @@ that are not mostly links. What is kept is one token stream a page. Hosts are cu
 unit's streams are concatenated and their suffixes sorted; neighbours with WINDOW tokens in common are runs of one
 substring, and runs from enough distinct pages name the substrings that may be boilerplate. What reaches a share of a
 host's pages reaches it in one of the host's units at least, so nothing is missed; what units name is then counted over
-all pages of the host. The tokens that repeated substrings cover go. Articles have a guard: more pages must repeat what
-is taken from them.
+all pages of the host. Sentences whose tokens are all covered by repeated substrings go, as whole sentences only. Articles
+have a guard: more articles must repeat what is taken from them, and what repeats elsewhere on pages is no evidence.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from textloom.llm.suffix import suffix_ranks
 
 #: Tokens of a repeated substring at least (a shorter block counts as a whole, outside articles); share of a block's characters in links at most.
 WINDOW, LINK_SHARE = 8, 0.6
-#: Distinct pages of a host that repeat a substring at least, as a number and in percent; the same within articles.
-LEAST_PAGES, LEAST_PERCENT = 2, 30
-ARTICLE_PAGES, ARTICLE_PERCENT = 3, 50
+#: Distinct pages of a host that repeat a substring at least, as a number and in percent; the same within articles, where only articles count.
+LEAST_PAGES, LEAST_PERCENT = 3, 30
+ARTICLE_PAGES, ARTICLE_PERCENT = 4, 50
 #: Pages that are searched for candidates together.
 UNIT = 64
 
@@ -43,9 +43,14 @@ _MARKS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising
 #: Of these, words that tell of an article or main element after the first that it is none. No word of _MARKS tells anything after one of _LAYOUT ("no-comments", "has-sidebar").
 _ASIDES = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "disqus", "related", "recommended", "hidden"}
 _LAYOUT = {"no", "without", "has", "with"}
+#: Parts of class and id values that say nothing beside a mark: "ad-slot", "site-header", "comments-list" are marked, "side-effects" and "related-work" aren't.
+_PLAIN = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "col", "column", "component", "container", "content", "css", "div", "element", "global", "group", "id", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "module", "outer", "page", "panel", "placeholder", "policy", "post", "posts", "primary", "region", "right", "row", "secondary", "section", "site", "slot", "stories", "thread", "top", "unit", "wrap", "wrapper", "zone"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold blocks.
+_HOLDERS = {"article", "aside", "center", "details", "div", "dl", "figure", "main", "ol", "section", "table", "tbody", "td", "tr", "ul"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 #: Start tags that end an open paragraph, and for items the tags that they end and those beyond which they don't look.
 _ENDS_P = _BLOCKS - {"html", "body", "head", "caption", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
@@ -63,15 +68,22 @@ _ITEMS = {
 _P_SCOPE = {"table", "td", "th", "caption", "html"}
 
 
-def _marked(attrs: str, marks: set[str]) -> bool:
-    """Whether a class or id has a word of marks that no word of layout comes before."""
-    for name, *values in _ATTR.findall(attrs):
-        words = _WORDS.findall(_CAMEL.sub(r"\1 \2", "".join(values)).lower()) if name.lower() in ("class", "id") else []
-        if not marks.isdisjoint(words) and any(w in marks and before not in _LAYOUT for before, w in zip(["", *words], words)):
+def _names(value: str, marks: set[str]) -> bool:
+    """Whether a word of a class or id value marks an element: all of its parts are marks or plain parts, one is a mark."""
+    for word in value.split():
+        parts = _PARTS.findall(_CAMEL.sub(r"\1 \2", word).lower())
+        if not marks.isdisjoint(parts) and _LAYOUT.isdisjoint(parts) and all(x in marks or x in _MARKS or x in _PLAIN or x.isdigit() for x in parts):
             return True
     return False
 
 
+def _marked(tag: str, attrs: str, marks: set[str]) -> bool:
+    """Whether a class, or the id of an element that holds blocks, marks the element; headings never are: their ids tell of their text."""
+    if tag in _HEADINGS:
+        return False
+    return any(_names("".join(values), marks) for name, *values in _ATTR.findall(attrs) if name.lower() == "class" or tag in _HOLDERS and name.lower() == "id")
+
+
 def _is_outside(tag: str, attrs: str) -> int:
     """0 if the element may hold an article; 1 if a class or id says otherwise; 2 if its tag or role does."""
     if tag in _OUTSIDE:
@@ -80,7 +92,7 @@ def _is_outside(tag: str, attrs: str) -> int:
         return 0
     if any(n == "hidden" or n == "role" and v in _ROLES for n, v in ((n.lower(), "".join(v).lower()) for n, *v in _ATTR.findall(attrs))):
         return 2
-    return int(_marked(attrs, _MARKS))
+    return int(_marked(tag, attrs, _MARKS))
 
 
 def _is_main(tag: str, attrs: str) -> bool:
@@ -180,7 +192,7 @@ def parse(page: str) -> tuple[list[str], list[tuple[str, float, bool]], bool]:
             continue
         parent = (tag, outside, in_main)
         if _is_main(tag, attrs):
-            if not _is_hidden(attrs) and not (seen_main and _marked(attrs, _ASIDES)) and outside < (1 if seen_main else 2):
+            if not _is_hidden(attrs) and not (seen_main and _marked(tag, attrs, _ASIDES)) and outside < (1 if seen_main else 2):
                 flush()
                 outside, in_main, seen_main = 0, True, True
             elif not outside:
@@ -328,7 +340,7 @@ def _unit(table):
 
 
 def _counted(batches):
-    """Pages of a task that hold each candidate of their host."""
+    """Pages of a task that hold each candidate of their host, and those that hold it in what they keep."""
     prints, found = _Fingerprints(), Counter()
     for batch in batches:
         for unit in batch.to_pylist():
@@ -336,7 +348,9 @@ def _counted(batches):
             for (kept, rest), lead in zip(_pages(unit), unit["leads"], strict=True):
                 if lead:
                     held = np.intersect1d(prints.page(kept, rest).view(np.int64), candidates)
-                    found.update((unit["host"], h) for h in held.tolist())
+                    found.update((unit["host"], h, False) for h in held.tolist())
+                    own = np.intersect1d(prints.page(kept, []).view(np.int64), held) if kept else held[:0]
+                    found.update((unit["host"], h, True) for h in own.tolist())
         if len(found) > 1 << 18:
             yield _flat(found)
             found.clear()
@@ -347,22 +361,37 @@ def _counted(batches):
 def _flat(found: Counter):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["host", "h", "n"])
+    columns = [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64())]
+    columns += [pa.array([n * (k[2] == own) for k, n in found.items()], pa.int64()) for own in (False, True)]
+    return pa.RecordBatch.from_arrays(columns, ["host", "h", "n", "n_kept"])
+
+
+_SENTENCE_END = re.compile(r"[.!?…։。！？][\"'”’)\]»]*$")
 
 
 def _unique_runs(blocks: list[str], repeated: np.ndarray, has_main: bool, prints: _Fingerprints) -> list[str]:
-    """The blocks without the tokens that repeated suffixes cover."""
+    """The blocks without the sentences that repeated suffixes cover from end to end; a block that ends without a mark ends a sentence."""
     tokens = [b.split(" ") for b in blocks]
     suffixes = prints.suffixes([t for ts in tokens for t in ts]).view(np.int64)
     covers = np.zeros(sum(map(len, tokens)) + 1, np.int64)
     starts = np.flatnonzero(np.isin(suffixes, repeated))
     np.add.at(covers, starts, 1)
     np.add.at(covers, starts + WINDOW, -1)
-    stay, kept, at = np.cumsum(covers) == 0, [], 0
+    unique, kept, at = np.cumsum(covers) == 0, [], 0
     for ts in tokens:
-        left = [t for t, s in zip(ts, stay[at : at + len(ts)], strict=True) if s]
+        own, left, first = unique[at : at + len(ts)], [], 0
         at += len(ts)
-        if left and not (not has_main and len(ts) < WINDOW and prints.whole(ts).view(np.int64)[0] in repeated):
+        if not has_main and len(ts) < WINDOW and prints.whole(ts).view(np.int64)[0] in repeated:
+            continue
+        if own.all():
+            kept.append(" ".join(ts))
+            continue
+        for i, t in enumerate(ts, 1):
+            if i == len(ts) or _SENTENCE_END.search(t):
+                if own[first:i].any():
+                    left += ts[first:i]
+                first = i
+        if left:
             kept.append(" ".join(left))
     return kept
 
@@ -413,11 +442,11 @@ def extract(pages: DataFrame, html: str = "html", page_id: str = "page_id", url:
     asked = cut(asked.join(sizes, "host"), "html-candidates")
     spread = F.xxhash64("blocks")
     leads = attach_groups(units.select("host", "leads", "n_kept", "n_rest", "blocks"), asked, "host", spread, "n").where("candidates IS NOT NULL").drop("n")
-    counts = leads.mapInArrow(_counted, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("held"))
+    counts = leads.mapInArrow(_counted, "host string, h long, n long, n_kept long").groupBy("host", "h").agg(F.sum("n").alias("held"), F.sum("n_kept").alias("held_kept"))
     pages_of = units.groupBy("host").agg(F.sum("n_pages").alias("n_pages"))
     percent = 100 * F.col("held")
     of = counts.join(pages_of, "host").where((F.col("held") >= LEAST_PAGES) & (percent >= LEAST_PERCENT * F.col("n_pages")))
-    guarded = (F.col("held") >= ARTICLE_PAGES) & (percent >= ARTICLE_PERCENT * F.col("n_pages"))
+    guarded = (F.col("held_kept") >= ARTICLE_PAGES) & (100 * F.col("held_kept") >= ARTICLE_PERCENT * F.col("n_pages"))
     lists = of.groupBy("host").agg(F.collect_list(F.when(guarded, F.col("h"))).alias("in_articles"), F.collect_list("h").alias("elsewhere"))
     lists = cut(lists.join(sizes, "host"), "html-repeated")
     marked = attach_groups(units.select("host", "page_ids", "urls", "has_main", "n_kept", "n_rest", "blocks"), lists, "host", spread, "n").drop("n")
