@@ -57,6 +57,17 @@ def test_grace_recursion_spills_and_agrees():
     assert got == want
 
 
+def test_grace_spills_into_sparks_folders(spark, tmp_path, monkeypatch):
+    found = spark.range(1).mapInPandas(lambda bs: (b.assign(folder=exact_dedup.spill_folder(0)) for b in bs), "id long, folder string").first()["folder"]
+    assert found and "blockmgr" in found
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", f"{tmp_path}/a,{tmp_path}/b")
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    groups = exact_dedup.grace_groups(((f"text {i}".encode() * 20, i, 1) for i in range(200)), budget=1000)
+    assert next(groups) and list((tmp_path / "a").glob("grace-*")) and len(list(groups)) == 199
+    assert not list(tmp_path.glob("*/grace-*"))
+
+
 def test_sstable_round_trip(docs, empty, spark):
     path = P.path("word_bpe_49k.json")
     got = by_id(sstable.encode_to_shards(docs, path, 1, shards=3))

@@ -79,6 +79,12 @@ def _read_spill(path: str) -> Iterator[Entry]:
             yield f.read(size), best if known else None, n
 
 
+def spill_folder(level: int) -> str | None:
+    """One of the folders that Spark gives its executor for spilling; None, the system's, outside of a task."""
+    folders = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")
+    return folders[level % len(folders)] or None
+
+
 def grace_groups(entries: Iterable[Entry], budget: int = TABLE_BYTES, level: int = 0) -> Iterator[Entry]:
     """One entry per distinct content. Memory: one table of ``budget`` bytes (one content at least) a level."""
     table = OpenTable(level)
@@ -90,7 +96,7 @@ def grace_groups(entries: Iterable[Entry], budget: int = TABLE_BYTES, level: int
     else:
         yield from table.entries()
         return
-    with tempfile.TemporaryDirectory(prefix="grace-") as folder:
+    with tempfile.TemporaryDirectory(prefix="grace-", dir=spill_folder(level)) as folder:
         files = [open(os.path.join(folder, str(i)), "wb") for i in range(FANOUT)]
         for source in (table.entries(), entries):
             for content, best, n in source:
