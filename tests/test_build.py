@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from textloom import config
+from textloom.operators import enrich
 from textloom.operators.ingest import write_chunks
 from textloom.plans import build
 from textloom.schema import normalize_chunks
@@ -53,3 +54,16 @@ def test_chapter_files_by_names(spark):
     table = spark.createDataFrame([w[:3] for w in wanted], "language string, book string, chapter int")
     got = {tuple(r)[:3]: r["path"] for r in paths.locate_chapters(table, files).collect()}
     assert got == {w[:3]: None if w[3] is None else names[w[3]] for w in wanted}
+
+
+def test_verses_are_assembled_in_order(spark):
+    texts = [(0, "1", "en", "first"), (1, " 1 ", "en", "second"), (2, "2", "hi", "no"), (3, "2", None, " only "), (4, "3", "English", "a"), (5, "3", "en", "b"), (6, "3", "en", "c"), (7, "9", "en", "no verse")]
+    rows = spark.createDataFrame([(*t, t[3] in ("second", "a", "b")) for t in texts], "pos int, id string, language string, text string, good boolean").repartition(3)
+    verses = spark.createDataFrame([("3", "2", "1"), ("1", "1", "10"), ("2", "1", "9"), ("4", "1", "1")], "id string, chapter string, verse string")
+    got = [r["line"] for r in enrich.assemble_verses(rows, verses, F.col("good")).collect()]
+    assert got == ["Chapter 1, Verse 9: only", "Chapter 1, Verse 10: second", "Chapter 2, Verse 1: b"]
+
+
+def test_merged_lookups(spark):
+    tables = [spark.createDataFrame(t, "k string, v int") for t in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4)], [("c", 5)])]
+    assert sorted(map(tuple, enrich.merge_lookups(*tables, key="k").collect())) == [("a", 1), ("b", 3), ("c", 5)]

@@ -22,6 +22,14 @@ def label_join(df: DataFrame, table: DataFrame, key: str, value: str, default: s
     return df.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def merge_lookups(*tables: DataFrame, key: str) -> DataFrame:
+    """Tables with one row a key as one; of a key in several the last table's row counts."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.join(table.select(key), key, "left_anti").select(out.columns).unionByName(table)
+    return out
+
+
 def classify(known: Column, member: Column, groups: dict[str, list[str]], unknown: str = "Unknown") -> Column:
     """The group that holds member, where what is known says nothing."""
     out = known
@@ -56,6 +64,20 @@ def expand_synonyms(text: Column, rules: list[tuple[list[str], str]]) -> Column:
     return F.concat_ws(" ", *[F.when(contains_any(low, triggers), expansion) for triggers, expansion in rules])
 
 
+def book_heading(book: Column, testament: Column, genre: Column, language: Column) -> Column:
+    """The heading of a chunk of the Christian domain; only English ones have the genre."""
+    start = F.concat(F.lit("Book: "), book, F.lit(". Testament: "), testament, F.lit("."))
+    return F.when(language == "en", F.concat(start, F.lit(" Genre: "), genre, F.lit("."))).otherwise(start)
+
+
+def scripture_heading(section: Column, category: Column, religion: str = "Hinduism") -> Column:
+    return F.concat(F.lit("Scripture: "), section, F.lit(". Category: "), category, F.lit(f". Religion: {religion}."))
+
+
+def verse_line(chapter: Column, verse: Column, text: Column) -> Column:
+    return F.concat(F.lit("Chapter "), chapter.cast("string"), F.lit(", Verse "), verse.cast("string"), F.lit(": "), text)
+
+
 def embed_text(preamble: Column, heading: Column, chunk: Column, synonyms: Column) -> Column:
     """The parts that aren't empty, joined by blanks."""
     return F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (preamble, heading, chunk, synonyms)])
@@ -84,3 +106,14 @@ def verse_join(translations: DataFrame, verses: DataFrame, left_id: str, right_i
     a = translations.withColumn("_id", strip(F.col(left_id).cast("string")))
     b = verses.withColumn("_id", strip(F.col(right_id).cast("string")))
     return a.join(b, "_id").drop("_id")
+
+
+def assemble_verses(translations: DataFrame, verses: DataFrame, preferred: Column) -> DataFrame:
+    """chapter, verse, line of verses (id, chapter, verse) with an English translation (pos, id, language, text), in order.
+
+    Of a verse's translations the last ``preferred`` one counts, else the first.
+    """
+    english = translations.where(is_english_row(F.col("language"), F.col("text"))).withColumn("id", strip(F.col("id").cast("string")))
+    best = best_version(english, "id", "pos", preferred)
+    joined = verse_join(best.select("id", strip("text").alias("text")), verses.select(F.col("id").alias("verse_id"), "chapter", "verse"), "id", "verse_id")
+    return in_verse_order(joined.select("chapter", "verse", verse_line(F.col("chapter"), F.col("verse"), F.col("text")).alias("line")))

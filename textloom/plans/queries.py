@@ -279,6 +279,30 @@ def verse_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.verse_join(orders, _t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey").select("o_orderkey", "c_name")
 
 
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, coalesce(s_name, c_name) AS name FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+def merged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return enrich.merge_lookups(first, _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), key="id")
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'Book: ' || source || '. Testament: ' || lang || '. Genre: ' || n_chars || '.' ELSE 'Book: ' || source || '. Testament: ' || lang || '.' END AS book,
+'Scripture: ' || source || '. Category: ' || lang || '. Religion: Hinduism.' AS scripture FROM documents""")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, lang, genre = F.col("source"), F.col("lang"), F.col("n_chars").cast("string")
+    return _t(spark, sf_dir, "documents").select("doc_id", enrich.book_heading(source, lang, genre, lang).alias("book"), enrich.scripture_heading(source, lang).alias("scripture"))
+
+
+@query(f"""WITH e AS (SELECT doc_id, CAST(doc_id % 700 AS VARCHAR) AS id, {_STRIP} AS said, n_chars % 2 = 0 AS preferred FROM documents
+  WHERE (lang IS NULL OR contains(lower(lang), 'english') OR lower(lang) IN ('', 'en', '1')) AND {_STRIP} <> '' AND (length(text) - length(regexp_replace(text, '[\\x{{0900}}-\\x{{0D7F}}]', '', 'g'))) / length(text) < 0.05),
+b AS (SELECT id, coalesce(arg_max(said, doc_id) FILTER (preferred), arg_min(said, doc_id)) AS said FROM e GROUP BY id)
+SELECT CAST(s_nationkey AS INT) AS chapter, CAST(s_suppkey AS INT) AS verse, 'Chapter ' || s_nationkey || ', Verse ' || s_suppkey || ': ' || said AS line FROM b JOIN supplier ON id = CAST(s_suppkey AS VARCHAR)""")
+def verse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as translations of verses that suppliers number: several a verse, ids with blanks around them."""
+    texts = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.concat(F.lit(" "), (F.col("doc_id") % 700).cast("string")).alias("id"), F.col("lang").alias("language"), "text", "n_chars")
+    verses = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("int").alias("chapter"), F.col("s_suppkey").cast("int").alias("verse"))
+    return enrich.assemble_verses(texts, verses, F.col("n_chars") % 2 == 0)
+
+
 # ---- ingest --------------------------------------------------------------------------------------------------------
 
 
