@@ -12,20 +12,25 @@ count a phrase that it need not have counted; it never changes a count.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import attach_groups, cut, partitions, text_or_empty
 
-#: One document in so many is in the sample; share of the expected number of occurrences from which it proposes a phrase.
-SAMPLE, LOWERED = 4, 0.8
-#: Bits of each Bloom filter (16 MB); more make passes on very large corpora cheaper.
-FILTER_BITS = 1 << 27
-#: Words that a task counts together, and distinct words that it remembers.
-_WORDS_AT_ONCE, _WORDS_KEPT = 2_000_000, 1_500_000
+#: One document in so many is in the sample; share of the expected number of occurrences from which it proposes a phrase, twice
+#: at least.
+SAMPLE, LOWERED = 8, 0.8
+#: Bits of a Bloom filter for each proposed phrase, and of a filter at most (16 MB), the bound of what is broadcast. More make
+#: passes on very large corpora cheaper.
+PHRASE_BITS, FILTER_BITS = 8, 1 << 27
+#: Words that a task counts together, distinct words that it remembers, and rows that it hands over at once.
+_WORDS_AT_ONCE, _WORDS_KEPT = 1_500_000, 400_000
+_ROWS_AT_ONCE = 20_000
 _BREAK, _NOTHING = -1, -2
 #: A-Z in lower case, TAB as a blank, and each separator of pieces as a line feed.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
@@ -82,7 +87,7 @@ class _Known:
     """Words that a task has met: text, language and hash by id."""
 
     def __init__(self) -> None:
-        self.words, self.codes, self.hashes, self.langs, self.ids = [], [], [], [], {}
+        self.words, self.codes, self.hashes, self.langs, self.ids = [], array("l"), array("Q"), [], {}
 
     def of(self, lang: str) -> _Ids:
         if lang not in self.ids:
@@ -114,9 +119,14 @@ def count_words(known: _Known, ids: np.ndarray, most: int, old: list | None, new
     if not len(known.words):
         return
     words, hashes = pa.array(known.words, pa.binary()), np.array(known.hashes, np.uint64)
-    codes, langs = np.array(known.codes), pa.array(known.langs, pa.string())
+    codes, langs = np.array(known.codes, np.int64), pa.array(known.langs, pa.string())
 
     def batch(parts: list[np.ndarray], counts: np.ndarray, lang: np.ndarray | None = None):
+        if len(counts) > _ROWS_AT_ONCE:
+            for at in range(0, len(counts), _ROWS_AT_ONCE):
+                some = slice(at, at + _ROWS_AT_ONCE)
+                yield from batch([p[some] for p in parts], counts[some], None if lang is None else lang[some])
+            return
         if not len(counts):
             return
         text = pc.binary_join_element_wise(*[words.take(pa.array(p)) for p in parts], pa.scalar(b" ")) if parts else pa.array([b""] * len(counts), pa.binary())
@@ -156,13 +166,14 @@ def count_words(known: _Known, ids: np.ndarray, most: int, old: list | None, new
             is_old = None if is_old is None else proposed(old, n, is_old[:-1] & is_old[1:], h)
 
 
-def count_phrases(docs: DataFrame, most: int, old: list | None = None, new: list | None = None) -> DataFrame:
-    """lang, phrase, words, n of the phrases of docs (lang, text) that a pass counts; words = 0 has a language's number of words."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((old, new))  # filters of a fixed size
+def count_phrases(docs: DataFrame, most: int, filters: Broadcast | None = None) -> DataFrame:
+    """lang, phrase, words, n of the phrases of docs (lang, text) that a pass with filters (old, new) counts.
+
+    Without filters all phrases are counted. words = 0 has a language's number of words.
+    """
 
     def run(batches):
-        old, new = shared.value
+        old, new = filters.value if filters else (None, None)
         known, pending, size = _Known(), [], 0
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
@@ -179,7 +190,9 @@ def count_phrases(docs: DataFrame, most: int, old: list | None = None, new: list
         if pending:
             yield from count_words(known, np.concatenate(pending), most, old, new)
 
-    return docs.select("lang", "text").mapInArrow(run, _ROWS).groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    # Tasks have added up what they can in arrays: rows are dealt out first, so that no task holds a table of all its phrases.
+    rows = docs.select("lang", "text").mapInArrow(run, _ROWS).repartition(partitions(docs.sparkSession), "lang", "phrase")
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
 
 
 def build_filters(phrases: DataFrame, most: int, bits: int, old: list | None = None) -> list:
@@ -225,13 +238,17 @@ def mine(docs: DataFrame, most: int = 3, least: int = 10, sample: int = SAMPLE,
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_or_empty().alias("text"))
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    lowered = max(1, int(LOWERED * least / sample))
-    proposals = count_phrases(chosen, most).where((F.col("words") > 0) & (F.col("words") < most) & (F.col("n") >= lowered))
+    lowered = max(2, int(LOWERED * least / sample))
+    # Phrases of all ``most`` words are part of no longer one: they need no proposal.
+    proposals = count_phrases(chosen, max(most - 1, 1)).where((F.col("words") > 0) & (F.col("n") >= lowered))
     proposals = cut(proposals.select("lang", "phrase", "words"), "phrases-proposed")
+    bits = min(bits, 1 << max(10, (PHRASE_BITS * proposals.count()).bit_length()))
     old, new, found, passes = None, build_filters(proposals, most, bits), None, 0
     while True:
         passes += 1
-        counted = cut(count_phrases(docs, most, old, new).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases-counted")
+        filters = docs.sparkSession.sparkContext.broadcast((old, new))
+        counted = cut(count_phrases(docs, most, filters).where((F.col("n") >= least) | (F.col("words") == 0)), "phrases-counted")
+        filters.destroy()
         found = counted if found is None else found.unionByName(counted)
         extendable = counted.where((F.col("words") > 0) & (F.col("words") < most)).select("lang", "phrase", "words")
         failures = cut(extendable.join(proposals, ["lang", "phrase", "words"], "left_anti"), "phrases-failures")
