@@ -17,8 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below a folder of this application's own."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -30,7 +34,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Deletes all intermediate tables of this library; call it once no result that reads them is needed any more."""
+    """Deletes the intermediate tables of this application; call it once no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
