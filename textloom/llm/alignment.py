@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -77,13 +79,19 @@ class TokenizerB:
         self.encode = lambda texts: model.encode(texts, num_threads=1)
 
 
+def picked(table: list, places: list[int]) -> tuple:
+    """The table's values at the places."""
+    return itemgetter(*places)(table) if len(places) > 1 else tuple(table[i] for i in places)
+
+
 class Aligner:
     """Both tokenizers, lengths of their tokens, and how ids are written into a group's text."""
 
     def __init__(self, a, b) -> None:
         self.a, self.b = a, b
         size = [max(t.bytes, default=0) + 1 for t in (a, b)]
-        self.lengths = [np.array([len(t.bytes.get(i, b"")) for i in range(n)], np.int64) for t, n in zip((a, b), size, strict=True)]
+        self.tables = [[t.bytes.get(i, b"") for i in range(n)] for t, n in zip((a, b), size, strict=True)]
+        self.lengths = [np.array([len(x) for x in table], np.int64) for table in self.tables]
         # An id's text before another of its side, and as the last of its side in a group.
         self.written = [f"{i}{end}".encode() for n, last in zip(size, "|;", strict=True) for i in range(n) for end in (",", last)]
         self.b_from = 2 * size[0]
@@ -91,17 +99,16 @@ class Aligner:
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of each text; none where a tokenizer doesn't give the bytes of the blank and the text."""
         left, right = self.a.encode([" " + t for t in texts]), self.b.encode(texts)
-        a_bytes, b_bytes = self.a.bytes, self.b.bytes
         for i, t in enumerate(texts):
             whole = (" " + t).encode()
-            if not t or b"".join([a_bytes[x] for x in left[i]]) != whole or b"".join([b_bytes[x] for x in right[i]]) != whole:
+            if not t or b"".join(picked(self.tables[0], left[i])) != whole or b"".join(picked(self.tables[1], right[i])) != whole:
                 left[i], right[i] = [], []
         return left, right
 
     def align(self, left: list[list[int]], right: list[list[int]]) -> Aligned:
         """Groups of texts' ids, all texts at once: as both sides have the same bytes, texts end at shared ends."""
         sizes = [np.array([len(x) for x in side], np.int64) for side in (left, right)]
-        ids = [np.array([i for x in side for i in x], np.int64) for side in (left, right)]
+        ids = [np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in zip((left, right), sizes, strict=True)]
         ends = [np.cumsum(length[i]) for length, i in zip(self.lengths, ids, strict=True)]
         last = [np.isin(x, y, assume_unique=True) for x, y in (ends, ends[::-1])]
         group = [np.cumsum(x) - x for x in last]
@@ -113,7 +120,7 @@ class Aligner:
         codes = np.empty(len(ids[0]) + len(ids[1]), np.int64)
         codes[np.arange(len(ids[0])) + (np.cumsum(q) - q)[group[0]]] = 2 * ids[0] + last[0]
         codes[np.arange(len(ids[1])) + np.cumsum(p)[group[1]]] = self.b_from + 2 * ids[1] + last[1]
-        written = [self.written[c] for c in codes.tolist()]
+        written = picked(self.written, codes.tolist())
         bounds = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])]).tolist()
         digests = [hashlib.sha256(b"".join(written[i:j])[:-1]).hexdigest() if j > i else "" for i, j in zip(bounds, bounds[1:], strict=False)]
         rows = [sizes[0].tolist(), sizes[1].tolist(), np.bincount(text, minlength=len(left)).tolist(), n_links.tolist(), digests]
