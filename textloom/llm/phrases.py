@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 from pyspark import Broadcast
@@ -293,9 +294,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", most:
     kept = best.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
     kept = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
 
-    # First within parts of a language, so that no task sorts all phrases of a large one.
+    # First within parts of a language, so that no task sorts all phrases of a large one; the root of the number of
+    # partitions keeps both these parts and what is left of them small.
     order = [F.desc("score"), F.desc("a"), "phrase"]
-    dealt = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(partitions(docs.sparkSession))))
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(isqrt(partitions(docs.sparkSession)))))
     firsts = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = found.where("words = 0").select("lang", "n")
