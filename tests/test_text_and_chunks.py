@@ -60,6 +60,27 @@ def test_windows_equal_a_plain_loop(spark, size, overlap, least):
         chunk.word_windows(column(spark, texts), 5, 5, 0, text="v")
 
 
+def test_dense_ids_compute_their_input_once(spark):
+    """Ranges drawn twice, from two samples, may differ: then ids repeat and skip."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def word(i):
+        seen.add(1)
+        return str(i)
+
+    got = chunk.dense_ids(spark.range(0, 1000, 1, 4).select(F.col("id").alias("x"), word("id").alias("t")), "x").collect()
+    assert sorted(tuple(r) for r in got) == [(i, i, str(i)) for i in range(1000)] and seen.value == 1000
+
+
+def test_dense_ids_beyond_samples(spark):
+    """Ranges are drawn from samples of larger tables: counts and places must come from the same ones."""
+    rows = spark.range(0, 30_000, 1, 4).select(F.xxhash64("id").alias("pos"), F.concat_ws(" ", F.array_repeat(F.col("id").cast("string"), 5)).alias("text"))
+    rows = rows.groupBy("pos").agg(F.first("text").alias("text"))
+    got = chunk.dense_ids(chunk.word_windows(rows, 3, 1, 1), "pos", "chunk_no").select("id", "pos", "chunk_no").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: (r["pos"], r["chunk_no"]))] == list(range(len(got)))
+
+
 def test_dense_ids(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("y"))
     got = chunk.dense_ids(df, "x").collect()

@@ -1,4 +1,4 @@
-"""Corpus build: raw segments to the chunk table, in one lazy plan."""
+"""Corpus build: raw segments to the chunk table."""
 
 from __future__ import annotations
 
