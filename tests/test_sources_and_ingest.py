@@ -250,3 +250,11 @@ def test_keys_are_those_of_each_files_first_object(spark):
     got = jsonfiles.keyed_records(table, jsonfiles.VERSE_KEYS, jsonfiles.VERSE_INSTEAD)
     assert got.columns == ["path", "pos", "id", "chapter", "verse"]
     assert sorted(map(tuple, got.collect())) == [("a", 0, "7", "1", "3"), ("a", 1, "8", None, None), ("b", 0, "x", "2", '{"n":1}'), ("b", 1, None, "3", None), ("c", 0, "5", "1", "6")]
+
+
+def test_page_rows_are_handed_on_in_slabs(spark, monkeypatch):
+    """A task holds the rows of a slab, not of a whole batch of pages."""
+    monkeypatch.setattr(html, "SLAB", 100)
+    text = "<body>" + "<p>A paragraph of a page that is long enough to be kept.</p>" * 3 + "</body>"
+    got = html.raw_paragraphs(spark.createDataFrame([(i, None if i == 2 else text) for i in range(5)], "page_id long, html string").coalesce(1)).collect()
+    assert [(r["page_id"], r["pos"]) for r in got] == [(i, n) for i in (0, 1, 3, 4) for n in range(3)]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,15 +151,39 @@ def read_page(page: str | None) -> _Reader:
     return reader
 
 
-def raw_paragraphs(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """page_id, pos, text, link_chars of all paragraphs of a page's container, without any filter."""
+#: Characters of rows that are handed on together.
+SLAB = 1 << 20
+
+
+def _rows_of(pages: DataFrame, columns: list[str], schema: str, read: Callable[..., list[tuple]]) -> DataFrame:
+    """The rows that ``read`` makes of each page: pages are taken from Arrow one at a time and rows handed on by the megabyte."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, n, *p) for i, page in zip(b[page_id], b[html], strict=True) for n, p in enumerate(page_paragraphs(page))]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "text", "link_chars"])
+            rows, size = [], 0
+            for at in range(b.num_rows):
+                own = read(*(b.column(c)[at].as_py() for c in range(b.num_columns)))
+                rows += own
+                size += sum(len(x) for r in own for x in r if isinstance(x, str)) + 64 * len(own)
+                if size >= SLAB:
+                    yield batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch(rows)
 
-    return pages.select(page_id, html).mapInPandas(run, "page_id long, pos int, text string, link_chars int")
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    fields = [(n, types[t]) for n, t in (f.split() for f in schema.split(", "))]
+    return pages.select(*columns).mapInArrow(run, schema)
+
+
+def raw_paragraphs(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """page_id, pos, text, link_chars of all paragraphs of a page's container, without any filter."""
+
+    read = lambda i, page: [(i, n, *p) for n, p in enumerate(page_paragraphs(page))]
+    return _rows_of(pages, [page_id, html], "page_id long, pos int, text string, link_chars int", read)
 
 
 def paragraph_filter(text: Column, link_chars: Column, least: int = 40) -> Column:
@@ -202,32 +227,25 @@ def distinct_paragraphs(paragraphs: DataFrame, *within: str) -> DataFrame:
 def links(pages: DataFrame, part: str = "/", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, pos, link of same-site links with ``part`` in them, each once a page by its canonical form."""
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, base, page in zip(b[page_id], b[url], b[html], strict=True):
-                site = urlsplit(base or "").netloc
-                for n, href in enumerate(read_page(page).links):
-                    if href.startswith(("#", "mailto:", "javascript:")):
-                        continue
-                    try:
-                        link = urljoin(base or "", href)
-                        if urlsplit(link).netloc == site and part in link:
-                            rows.append((i, n, link))
-                    except ValueError:
-                        continue
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "link"])
-
-    found = pages.select(page_id, url, html).mapInPandas(run, "page_id long, pos int, link string")
+    def read(i, base, page):
+        rows, site = [], urlsplit(base or "").netloc
+        for n, href in enumerate(read_page(page).links):
+            if href.startswith(("#", "mailto:", "javascript:")):
+                continue
+            try:
+                link = urljoin(base or "", href)
+                if urlsplit(link).netloc == site and part in link:
+                    rows.append((i, n, link))
+            except ValueError:
+                continue
+        return rows
+
+    found = _rows_of(pages, [page_id, url, html], "page_id long, pos int, link string", read)
     return distinct_first(found, canonical_url(F.col("link")), "pos", "page_id")
 
 
 def chapter_verses(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """page_id, pos, text of verses: what follows a numbered verse span, up to the next."""
 
-    def run(batches):
-        for b in batches:
-            rows = [(i, n, t) for i, page in zip(b[page_id], b[html], strict=True) for n, t in enumerate(read_page(page).verses)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "text"])
-
-    return pages.select(page_id, html).mapInPandas(run, "page_id long, pos int, text string")
+    read = lambda i, page: [(i, n, t) for n, t in enumerate(read_page(page).verses)]
+    return _rows_of(pages, [page_id, html], "page_id long, pos int, text string", read)
