@@ -1,6 +1,7 @@
 """Each operator on hand-made tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import weakref
 import zlib
 from collections import Counter
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import bpe, components, decontam, exact_dedup, html_extract, langid, minhash, queries, sstable, suffix, toxicity, warc
-from textloom.llm.common import scratch
+from textloom.llm.common import let_go, scratch, slices
 
 LONG = " ".join(f"word{i % 997} other{i % 331}" for i in range(6000))
 BASE = " ".join(f"token{i}" for i in range(60))
@@ -139,6 +140,24 @@ def test_bpe_text_without_a_shared_boundary(spark):
         assert [got[i]["ids_sha256"] for i in range(3)] == [hashlib.sha256(" ".join(map(str, codec.encode(t))).encode()).hexdigest() for t in texts]
 
 
+def test_a_python_worker_holds_one_tool():
+    first = weakref.ref(bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    assert bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN) is first()
+    second = weakref.ref(bpe.codec(P.path("byte_bpe_50k.tiktoken"), r"\s+|\S+"))
+    assert first() is None and second() is not None
+    let_go()
+    assert second() is None
+
+
+def test_slices_are_the_whole_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (1100, 0, 3)]
+    found = list(slices(iter(batches), 512))
+    assert [b.num_rows for b in found] == [512, 512, 76, 3]
+    assert [x for b in found for x in b.column("x").to_pylist()] == [*range(1100), *range(3)]
+
+
 def test_language(spark, docs, empty):
     en, de = "the cat and the dog of the house with them ", "der hund und die katze aus dem haus mit ihnen "
     rows = spark.createDataFrame([(i, (en if i % 2 else de) * 3, "en" if i % 2 else "de") for i in range(40)] + [(90, None, "en"), (91, en, None)], "doc_id long, text string, lang string")

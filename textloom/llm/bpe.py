@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, map_texts, partitions, text_or_empty, worker_cache
+from textloom.llm.common import cut, map_texts, partitions, text_or_empty, worker_tool
 
 CHUNK_CHARS, OVERLAP_CHARS, TASK_CHARS = 4096, 256, 1 << 18
 
@@ -55,10 +55,7 @@ class Codec:
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
-    cache = worker_cache()
-    if ("bpe", ranks_path, pattern) not in cache:
-        cache[("bpe", ranks_path, pattern)] = Codec(ranks_path, pattern)
-    return cache[("bpe", ranks_path, pattern)]
+    return worker_tool(("bpe", ranks_path, pattern), lambda: Codec(ranks_path, pattern))
 
 
 def chunks_of(text: str, size: int, overlap: int) -> Iterator[tuple[int, str, bool]]:

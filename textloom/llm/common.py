@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +13,13 @@ from pyspark.sql import types as T
 
 from textloom.storage import cut, scratch, shared_dir
 
-__all__ = ["attach_groups", "cut", "map_texts", "partitions", "scratch", "shared_dir", "text_or_empty", "worker_cache"]
+__all__ = ["attach_groups", "cut", "let_go", "map_texts", "partitions", "scratch", "shared_dir", "slices", "text_or_empty", "worker_cache", "worker_tool"]
 
 #: A group is hot when it holds more than 1/HOT_SHARE of all rows, so there are
 #: fewer than HOT_SHARE hot groups whatever the input: the bound of every
 #: broadcast below.
 HOT_SHARE = 1024
-#: Texts that map_texts hands over at once.
+#: Texts that are taken from an Arrow batch at once.
 TEXTS_AT_ONCE = 512
 
 
@@ -32,6 +32,33 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_textloom_worker_cache", types.ModuleType("_textloom_worker_cache")).__dict__
 
 
+def worker_tool(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept for this key by the Python worker, which holds one tool at a time: workers outlive their
+    jobs, so those of several steps would add up."""
+    cache = worker_cache()
+    if cache.get("tool", (None,))[0] != key:
+        let_go()
+        cache["tool"] = (key, make())
+    return cache["tool"][1]
+
+
+def let_go() -> None:
+    """Drops the worker's tool; for tasks that need memory for something else."""
+    worker_cache().pop("tool", None)
+
+
+def slices(batches: Iterable, rows: int = TEXTS_AT_ONCE) -> Iterator:
+    """Arrow batches in slices of so many rows. What earlier batches took goes back to the system: Arrow's pool would
+    keep it, several batches of 10,000 texts in each worker."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+        del whole
+        pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -51,12 +78,10 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list], list]], field
 
         function, names = make(), [f.name for f in (*kept, *added)]
         kinds = [to_arrow_type(f.dataType) for f in added]
-        for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
-                b = whole.slice(at, TEXTS_AT_ONCE)
-                found = function(b.column(text).to_pylist())
-                arrays = [b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        for b in slices(batches):
+            found = function(b.column(text).to_pylist())
+            arrays = [b.column(f.name) for f in kept] + [pa.array(c, k) for c, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return rows.mapInArrow(run, T.StructType([*kept, *added]))
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach_groups, cut
+from textloom.llm.common import attach_groups, cut, let_go, slices
 
 #: Bytes of content that one table holds before it is flushed or spilled.
 TABLE_BYTES = 64 << 20
@@ -115,7 +115,8 @@ _GROUP = pa.schema([("digest", pa.string()), ("keep_id", pa.int64()), ("group_si
 
 
 def _rows(batches: Iterable[pa.RecordBatch], first: bool) -> Iterator[Entry]:
-    for b in batches:
+    let_go()
+    for b in slices(batches):
         ids = b.column(1).to_pylist()
         yield from zip((x.as_py() for x in b.column(0)), ids, [1] * len(ids) if first else b.column(2).to_pylist(), strict=True)
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, map_texts, text_or_empty, worker_cache
+from textloom.llm.common import cut, map_texts, slices, text_or_empty, worker_tool
 
 #: Labelled rows that are used for fitting at most.
 TRAIN_DOCS = 8_000
@@ -25,7 +25,7 @@ LONGEST_GRAM = 5
 #: Words that count towards the confidence of a score at most.
 CONFIDENT_WORDS = 30
 UNKNOWN = "und"
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 100_000
 
 
 class Model:
@@ -132,13 +132,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 def _shared_scorer(df: DataFrame, model: Model) -> Callable[[], Scorer]:
     shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most MODEL_BYTES
 
-    def scorer() -> Scorer:
-        cache = worker_cache()
-        if cache.get("langid", ("",))[0] != name:
-            cache["langid"] = (name, Scorer(shared.value))
-        return cache["langid"][1]
-
-    return scorer
+    return lambda: worker_tool(("langid", name), lambda: Scorer(shared.value))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -169,7 +163,7 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
         import pyarrow as pa
 
         score = scorer()
-        for batch in batches:
+        for batch in slices(batches):
             found = [score(t or "") for t in batch.column(text).to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least for lang, s in found], pa.bool_()))
 

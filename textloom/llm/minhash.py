@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import attach_groups, cut, map_texts, partitions, text_or_empty, worker_cache
+from textloom.llm.common import attach_groups, cut, let_go, map_texts, partitions, slices, text_or_empty, worker_tool
 from textloom.llm.components import components
 
 #: BANDS bands of ROWS values each; half of all values are minima, half maxima. At a similarity of 0.85 a pair shares
@@ -30,7 +30,7 @@ PARITY_WORDS = 16
 PART_ROWS = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the whole set, null if empty), bands, parity."""
 
     def make():
-        signer = worker_cache().setdefault(("minhash", size), Signer(size))
+        signer = worker_tool(("minhash", size), lambda: Signer(size))
 
         def sign(texts):
             sets = [signer.shingles(t) for t in texts]
@@ -138,18 +138,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     both = attach(attach(pairs, "b", "a", "text_b"), "a", "b", "text_a")
 
     def check(batches):
+        import pyarrow as pa
+
+        let_go()
         last: tuple = (None, None, None)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for a, x, y in zip(batch["a"], batch["text_a"], batch["text_b"], strict=True):
+            # A row's texts at a time: all of a batch would stand beside its Arrow columns.
+            for a, x, y in zip(*(batch.column(c) for c in ("a", "text_a", "text_b")), strict=True):
+                a, x, y = a.as_py(), x.as_py(), y.as_py()
                 if last[0] != a or last[2] != x:
                     last = (a, shingle_set(x, size), x)
                 s, t = last[1], shingle_set(y, size)
                 common = len(s & t)
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.sortWithinPartitions("a").mapInPandas(check, "a long, b long")
+    return both.sortWithinPartitions("a").mapInArrow(check, "a long, b long")
 
 
 def link(members: DataFrame, parities: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
