@@ -355,6 +355,34 @@ def test_near_duplicates_chain_and_large_group(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
 
 
+def test_near_duplicates_makes_few_candidates_of_a_group_without_a_near_smallest_member(spark, monkeypatch):
+    """Most of a bucket's classes are linked with each other, none with the bucket's smallest, and some pairs only once."""
+    rng = np.random.default_rng(5)
+    base, strays, n = [f"v{i}" for i in range(120)], 40, 400
+
+    def edited(i, places):
+        own = base[:]
+        for p in places:
+            own[p] = f"x{i} {p}"
+        return " ".join(own)
+
+    texts = [edited(i, range(i % 24, 120, 24)) for i in range(strays)]
+    texts += [edited(i, [int(rng.integers(0, 120))]) for i in range(strays, strays + n)]
+    made, confirm = [], minhash.confirm
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return confirm(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), size=3, percent=85))
+    sets = [minhash.shingle_set(t, 3) for t in texts]
+    assert not any(100 * len(sets[i] & s) >= 85 * len(sets[i] | s) for i in range(strays) for s in sets[i + 1 :])
+    assert [got[i]["component_id"] for i in range(len(texts))] == [*range(strays), *[strays] * n]
+    # All pairs are 79,800; those drawn grow with the number of classes.
+    assert sum(made) < 80 * len(texts), made
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -6,7 +6,10 @@ their full shingle sets, and confirmed links are closed to components.
 
 Groups of copies are never expanded into all pairs. Documents with equal shingle sets are one class, of which the
 smallest id stands for all. In a bucket, each class is first compared with the bucket's smallest. Only where a bucket's
-classes are then in several components are those outside the main one compared with all classes of other components.
+classes are then in several components are those outside the main one compared with the classes of other components: in
+rounds, each with a larger random share of the bucket, the last with all of it. A round's links join components before the
+next, so one group's many links are not all made: the links between components that a sample leaves are expected to be
+as many as the classes by the inverse of its share (Karger, Klein and Tarjan), and a round samples GROWTH times as much.
 """
 
 from __future__ import annotations
@@ -28,6 +31,9 @@ BANDS, ROWS = 32, 6
 PARITY_WORDS = 16
 #: Classes of a bucket that a part of it has, about.
 PART_ROWS = 256
+#: Classes of a bucket with which one outside its main component is compared in the first round, about, and how many
+#: times as many in each round after it.
+FIRST_ROWS, GROWTH = 4, 16
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _WORDS_KEPT = 100_000
@@ -157,6 +163,42 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return both.sortWithinPartitions("a").mapInArrow(check, "a long, b long")
 
 
+def _apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (bucket, rep and others) of buckets whose classes are in several components, with component, main (that of
+    most of the bucket's classes) and n_rows (of the bucket)."""
+    kept = rows.columns
+    rows = rows.join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = cut(rows.select(*kept, F.coalesce("component", "rep").alias("component")), "near-rows")
+    counts = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component")).alias("most")
+    apart = counts.groupBy("bucket").agg(most, F.sum("n").alias("n_rows"), F.count("*").alias("n_components")).where("n_components > 1")
+    apart = cut(apart.select("bucket", F.col("most.component").alias("main"), "n_rows"), "near-buckets")
+    return attach_groups(rows, apart, "bucket", F.col("rep"), "n_rows").where("main IS NOT NULL")
+
+
+def _across(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of a bucket in different components that may be linked: each class outside the main
+    component with ``width`` others of its bucket, drawn by hashes, and with all where the bucket has no more.
+
+    A bucket's classes are dealt over parts of PART_ROWS or so, at first over smaller ones; those outside its main
+    component go to so many parts in a row that these have ``width`` classes.
+    """
+    parts = F.ceil(F.col("n_rows") / min(width, PART_ROWS)).cast("int")
+    place = lambda use: F.pmod(F.xxhash64(F.lit(f"{use} {width}"), "bucket", "rep"), parts).cast("int")
+    steps = F.sequence(F.lit(0), F.least(parts, F.lit(-(-width // PART_ROWS))) - 1)
+    outside = rows.where("component != main").withColumns({"parts": parts, "at": place("from"), "step": F.explode(steps)})
+    outside = outside.select("bucket", F.pmod(F.col("at") + F.col("step"), "parts").alias("part"), *[F.col(c).alias(f"p_{c}") for c in ("rep", "n_shingles", "component", "parity")])
+    # Most pairs of a large group that aren't linked to its smallest member by now are ruled out by the parities of
+    # their sets, which prove that they differ too much, without a look at their texts.
+    n, m = F.col("n_shingles"), F.col("p_n_shingles")
+    most = _at_most_common(n, m, F.col("parity"), F.col("p_parity"))
+    possible = _similar_sizes(n, m, percent) & (100 * most >= percent * (n + m - most))
+    # Of two outside the main component each may meet the other: one order is enough.
+    once = (F.col("component") == F.col("main")) | (F.col("p_rep") < F.col("rep"))
+    near = rows.withColumn("part", place("of")).join(outside, ["bucket", "part"]).where((F.col("component") != F.col("p_component")) & once & possible)
+    return near.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
+
+
 def link(members: DataFrame, parities: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """node, component of all classes with a link.
 
@@ -167,26 +209,18 @@ def link(members: DataFrame, parities: DataFrame, texts: DataFrame, size: int, p
     edges = cut(confirm(pairs, texts, size, percent), "near-edges")
     found = components(edges)
 
-    # Buckets whose classes are in several components; a bucket's main component is that of its smallest class. The
-    # classes of a large bucket are dealt over parts of PART_ROWS or so, and those outside its main component go to each
-    # part.
-    rows = members.select("bucket", "rep", "n_shingles").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = cut(rows.select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "near-rows")
-    apart = rows.groupBy("bucket").agg(F.min_by("component", "rep").alias("main"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n_rows")).where("c0 != c1")
-    apart = cut(apart.select("bucket", "main", F.ceil(F.col("n_rows") / PART_ROWS).cast("int").alias("parts"), "n_rows"), "near-buckets")
-    rows = attach_groups(rows, apart, "bucket", F.col("rep"), "n_rows").where("main IS NOT NULL").drop("n_rows")
-    rows = cut(rows.join(parities, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")), "near-apart")
-    outside = rows.where("component != main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"p_{c}") for c in ("rep", "n_shingles", "component", "parity")])
-    # Most pairs of a large group that aren't linked to its smallest member by now are ruled out by the parities of
-    # their sets, which prove that they differ too much, without a look at their texts.
-    n, m = F.col("n_shingles"), F.col("p_n_shingles")
-    most = _at_most_common(n, m, F.col("parity"), F.col("p_parity"))
-    possible = _similar_sizes(n, m, percent) & (100 * most >= percent * (n + m - most))
-    near = rows.join(outside, ["bucket", "part"]).where((F.col("component") != F.col("p_component")) & possible)
-    more = near.select(F.least("p_rep", "rep").alias("a"), F.greatest("p_rep", "rep").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    more = cut(confirm(more, texts, size, percent), "near-edges")
-    return components(edges.unionByName(more)) if more.take(1) else found
+    rows = _apart(members.select("bucket", "rep", "n_shingles"), found)
+    rows, width = cut(rows.join(parities, "rep"), "near-apart"), FIRST_ROWS
+    while rows.take(1):
+        more = _across(rows, width, percent).join(pairs, ["a", "b"], "left_anti")
+        more = cut(more, "near-pairs")
+        edges = cut(confirm(more, texts, size, percent), "near-edges")
+        if edges.take(1):
+            found = components(edges.unionByName(found.select(F.col("component").alias("a"), F.col("node").alias("b"))))
+        pairs = pairs.unionByName(more)
+        rows = rows.where(F.col("n_rows") > width).select("bucket", "rep", "n_shingles", "parity")
+        rows, width = cut(_apart(rows, found), "near-apart"), width * GROWTH
+    return found
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
