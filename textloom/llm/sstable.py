@@ -17,7 +17,6 @@ import math
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import filterfalse
 
 import numpy as np
 import xxhash
@@ -30,13 +29,18 @@ from textloom.llm.common import partitions, scratch, text_or_empty, worker_cache
 
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Bytes of rows that are encoded at once, about.
+ROWS_BYTES = 8 << 20
 MAGIC = b"TLSST001"
 _FOOTER = "<QQQQQQB8s"
 _FOOTER_BYTES = struct.calcsize(_FOOTER)
-#: Distinct words, and parts of words, whose ids a worker keeps; beyond it either cache starts anew.
-WORD_CACHE, PART_CACHE = 600_000, 900_000
+#: Distinct parts of words whose ids a worker keeps; beyond it the cache starts anew.
+PART_CACHE = 1_200_000
 #: Signs at a word's end that the tokenizer always parts from the letters before.
 _END_SIGNS = ".,!?;:#$%&*|"
+#: Words that Arrow splits into parts as split_word does: of Latin letters, whose lower case is one letter for all.
+_PLAIN_LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_PLAIN = _PLAIN_LETTERS + r"[.,!?;:#$%&*|]*$"
 #: How the vocabulary marks a word's last piece. Where it has no such mark, every part is encoded apart.
 _WORD_END = "</w>"
 
@@ -186,8 +190,9 @@ class WordEncoder:
     """A public tokenizer's ids of whole texts, by way of the ids of each distinct word between blanks or line feeds.
 
     The tokenizer drops white space and never merges across it, so a text's ids are its words' ids in order. The
-    tokenizers library encodes each word that is not in the cache; a special token's string in a text is that token, as
-    in the library's own call, or with ``special_as_text`` ordinary text.
+    tokenizers library encodes each part of a word that is not in the cache; a special token's string in a text is that
+    token, as in the library's own call, or with ``special_as_text`` ordinary text. Arrow finds the distinct words of many
+    texts and their distinct parts, so Python looks at each of these once, not at every word.
     """
 
     def __init__(self, path: str, end_id: int | None, special_as_text: bool = False) -> None:
@@ -203,7 +208,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(_WORD_END)]] = True
         self.end = b"" if end_id is None else int(end_id).to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     @staticmethod
@@ -235,24 +239,66 @@ class WordEncoder:
         data, cuts = ids.tobytes(), cuts.tolist()
         return [data[b:e] for b, e in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
+    def _split(self, words):
+        """First and second parts of an Arrow array of words; where there is no second it is empty."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(words, _PLAIN)
+        own, other = words.filter(plain), pc.invert(plain)
+        others = [self.split_word(w) for w in _strings(words.filter(other))]
+        # Places of each word among the plain ones, and then the others.
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(other)]))
+        first = pa.array([p[0] for p in others], words.type)
+        second = pa.array([p[1] if len(p) > 1 else "" for p in others], words.type)
+        first = pa.concat_arrays([pc.utf8_lower(pc.ascii_rtrim(own, characters=_END_SIGNS)), first])
+        second = pa.concat_arrays([pc.replace_substring_regex(own, _PLAIN_LETTERS, ""), second])
+        return first.take(pa.array(order)), second.take(pa.array(order))
+
+    def _ids_of(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts one after the other, and how many each has."""
         if len(self.parts) > PART_CACHE:
             self.parts.clear()
-        # A test a word: the difference of a set and a dictionary's keys would pass over the whole cache for each batch.
-        split_new = {w: self.split_word(w) for w in filterfalse(self.known.__contains__, set().union(*split))}
-        missing = {p for parts in split_new.values() for p in parts if p not in self.parts}
+        missing = [p for p in parts if p not in self.parts]
         letters = [p for p in missing if p.isalpha()]
         others = [p for p in missing if not p.isalpha()]
         for own, encode in ((letters, self._encode_letters), (others, self._encode_parts)):
             for at in range(0, len(own), 512):
                 self.parts.update(zip(own[at : at + 512], encode(own[at : at + 512]), strict=True))
-        for w, parts in split_new.items():
-            self.known[w] = self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)) + self.end, f"<u{self.width}") for words in split]
+        found = list(map(self.parts.__getitem__, parts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        return np.frombuffer(b"".join(found), f"<u{self.width}"), sizes
+
+    def encode_batch(self, texts: Iterable[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rows = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = rows.flatten().dictionary_encode()
+        first, second = self._split(coded.dictionary)
+        parts = pa.concat_arrays([first, second]).dictionary_encode()
+        ids, sizes = self._ids_of(_strings(parts.dictionary))
+        # Two parts make a word, words make the texts.
+        pairs = parts.indices.to_numpy().reshape(2, -1).T.ravel()
+        ids, sizes = _gather(ids, sizes, pairs), sizes[pairs].reshape(-1, 2).sum(axis=1)
+        at_words = coded.indices.to_numpy()
+        ids, ends = _gather(ids, sizes, at_words), np.concatenate([[0], np.cumsum(sizes[at_words])])
+        cuts = ends[rows.offsets.to_numpy() - rows.offsets[0].as_py()].tolist()
+        end = np.frombuffer(self.end, ids.dtype)
+        return [np.concatenate([ids[b:e], end]) for b, e in zip(cuts, cuts[1:], strict=False)]
+
+
+def _strings(array) -> list[str]:
+    """An Arrow array's strings; to_pylist makes a scalar of each first."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _gather(values: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Runs of values, of the given sizes one after the other, in another order, one after the other."""
+    starts, own = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    places = np.repeat(starts - (np.cumsum(own) - own), own)
+    places += np.arange(len(places))
+    return values[places]
 
 
 def to_arrow(rows: list[tuple], schema: T.StructType):
@@ -305,8 +351,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         with files.open_output_stream(attempt) as out:
             writer = ShardWriter(out, encoder.width)
             while first is not None:
-                for at in range(0, first.num_rows, 256):
-                    part = first.slice(at, 256)
+                rows = max(1, first.num_rows * ROWS_BYTES // max(first.nbytes, 1))
+                for at in range(0, first.num_rows, rows):
+                    part = first.slice(at, rows)
                     for i, ids in zip(part.column("doc_id").to_pylist(), encoder.encode_batch(part.column("text").to_pylist()), strict=True):
                         writer.add(key_of(i), ids)
                 first = next(batches, None)
